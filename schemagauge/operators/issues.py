@@ -93,20 +93,22 @@ def charged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfas
     Under a root ``anyOf`` the row is charged to the branch with the fewest paths,
     none counting as one, and to the first of several such branches.
     """
-    per_entity = []
-    for idx, entity in enumerate(to_schema(schema).entities()):
-        paths = V.leaf_paths(missing(entity, v, F.lit("$"), mode), bound)
-        per_entity.append(
-            F.transform(
-                F.array(paths),
-                lambda p, idx=idx: F.struct(
-                    F.greatest(F.size(p), F.lit(1)).alias("n"),
-                    F.lit(idx).alias("entity_idx"),
-                    p.alias("paths"),
-                ),
-            )
+    per_entity = F.array(
+        *[
+            V.leaf_paths(missing(entity, v, F.lit("$"), mode), bound)
+            for entity in to_schema(schema).entities()
+        ]
+    )
+    return F.array_min(
+        F.transform(
+            per_entity,
+            lambda paths, idx: F.struct(
+                F.greatest(F.size(paths), F.lit(1)).alias("n"),
+                idx.alias("entity_idx"),
+                paths.alias("paths"),
+            ),
         )
-    return F.array_min(F.concat(*per_entity))
+    )
 
 
 def assess(

@@ -54,7 +54,7 @@ def summarize_many(
         F.concat(*[outcome(c) for c in checks]), lambda o: o["status"].isNotNull()
     )
     per_path = (
-        rows.select(col, parsed(F.col(col), mode).alias("_v"))
+        rows.withColumn("_v", parsed(F.col(col), mode))
         .select(F.inline(outcomes))
         .select(
             "name",
