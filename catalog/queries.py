@@ -62,7 +62,7 @@ def row_kinds(spark, folder):
     return I.nested_rows(spark, folder).select(
         "key",
         "no",
-        F.inline(
+        F.inline_outer(
             F.transform(members, lambda e: F.struct(e["key"], V.kind(e["value"])))
         ).alias("member", "kind"),
     )
@@ -84,7 +84,7 @@ def row_paths_plain(spark, folder):
 def row_leaves(spark, folder):
     start = F.array(F.struct(F.lit("$").alias("path"), F.try_parse_json("value").alias("v")))
     leaves = V.leaf_paths(start, V.nesting_bound(F.col("value")))
-    found = I.mixed_rows(spark, folder).select(F.explode(leaves).alias("path"))
+    found = I.mixed_rows(spark, folder).select(F.explode_outer(leaves).alias("path"))
     return found.groupBy("path").agg(F.count("*").alias("n_rows"))
 
 

@@ -29,6 +29,11 @@ def empty(type_name: str) -> Column:
     return F.array().cast(type_name)
 
 
+def record(**fields: Column) -> Column:
+    """A struct whose field names hold whatever the fields are made of."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def bind_test(value: Column, test: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once, then a boolean expression over it; NULL is false."""
     return F.exists(F.array(value), lambda x: x.isNotNull() & test(x))
@@ -58,24 +63,30 @@ def is_number(v: Column) -> Column:
     return name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL(")
 
 
+def _scalar_kind(v: Column) -> Column:
+    names = F.create_map(
+        *[F.lit(x) for x in ("STRING", "string", "BOOLEAN", "boolean", "VOID", "null")]
+    )
+    return F.coalesce(F.element_at(names, F.schema_of_variant(v)), F.lit("number"))
+
+
+def _kind(v: Column, members: Column, elements: Column, mark_empty: bool) -> Column:
+    def container(size: Column, name: str) -> Column:
+        if not mark_empty:
+            return F.lit(name)
+        return F.when(size == 0, "empty_" + name).otherwise(name)
+
+    return (
+        F.when(members.isNotNull(), container(F.size(members), "object"))
+        .when(elements.isNotNull(), container(F.size(elements), "array"))
+        .otherwise(_scalar_kind(v))
+    )
+
+
 def kind(v: Column, mark_empty: bool = True) -> Column:
     """``string number boolean null object array``, and with ``mark_empty`` also
     ``empty_object`` and ``empty_array``."""
-    members, elements = as_object(v), as_array(v)
-    if mark_empty:
-        of_object = F.when(F.size(members) == 0, "empty_object").otherwise("object")
-        of_array = F.when(F.size(elements) == 0, "empty_array").otherwise("array")
-    else:
-        of_object, of_array = F.lit("object"), F.lit("array")
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(members.isNotNull(), of_object)
-        .when(elements.isNotNull(), of_array)
-        .when(is_string(v), "string")
-        .when(is_boolean(v), "boolean")
-        .when(is_null(v), "null")
-        .otherwise("number")
-    )
+    return F.when(v.isNotNull(), _kind(v, as_object(v), as_array(v), mark_empty))
 
 
 def nesting_bound(text: Column) -> Column:
@@ -83,27 +94,33 @@ def nesting_bound(text: Column) -> Column:
 
     Each level opens with a bracket of its own, so counting them is enough.
     """
-    return F.length(text) - F.length(F.translate(text, "{[", "")) + 1
 
+    def others(bracket: str) -> Column:
+        return F.length(F.replace(text, F.lit(bracket), F.lit("")))
 
-def _children(node: Column) -> Column:
-    path, v = node["path"], node["v"]
-    members = bind_array(
-        as_object(v),
-        lambda m: F.transform(
-            F.map_entries(m),
-            lambda e: F.struct(
-                F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")
-            ),
-        ),
+    return 2 * F.length(text) - others("{") - others("[") + 1
+
+
+def below(path: Column, key: Column) -> Column:
+    return F.concat_ws(".", path, key)
+
+
+def _opened(path: Column, v: Column) -> Column:
+    """A place in a walk: what stands there, and its members or elements."""
+    return F.struct(
+        path.alias("path"), v.alias("v"), as_object(v).alias("m"), as_array(v).alias("a")
     )
-    elements = bind_array(
-        as_array(v),
-        lambda a: F.transform(
-            a, lambda x: F.struct(F.concat(path, F.lit("[*]")).alias("path"), x.alias("v"))
+
+
+def _inner(node: Column) -> Column:
+    """Places right below; a value has members or elements, never both."""
+    return F.coalesce(
+        F.transform(
+            F.map_entries(node["m"]), lambda e: _opened(below(node["path"], e["key"]), e["value"])
         ),
+        F.transform(node["a"], lambda x: _opened(F.concat_ws("", node["path"], F.lit("[*]")), x)),
+        empty("array<struct<path:string,v:variant,m:map<string,variant>,a:array<variant>>>"),
     )
-    return F.concat(members, elements)
 
 
 def _walk(start: Column, bound: Column, visit: Callable[[Column], Column], out: str) -> Column:
@@ -117,7 +134,7 @@ def _walk(start: Column, bound: Column, visit: Callable[[Column], Column], out:
         frontier = state["frontier"]
         return F.when(F.size(frontier) == 0, state).otherwise(
             F.struct(
-                F.flatten(F.transform(frontier, _children)).alias("frontier"),
+                F.flatten(F.transform(frontier, _inner)).alias("frontier"),
                 F.concat(state["done"], visit(frontier)).alias("done"),
             )
         )
@@ -126,31 +143,31 @@ def _walk(start: Column, bound: Column, visit: Callable[[Column], Column], out:
 
 
 def all_paths(v: Column, bound: Column, mark_empty: bool = True) -> Column:
-    """Every value inside ``v``, itself included, as ``(path, kind)``."""
-    start = F.array(F.struct(F.lit("$").alias("path"), v.alias("v")))
-    start = F.when(v.isNull(), empty(PATHS_AND_VALUES)).otherwise(start)
+    """Every value inside ``v``, itself included, as ``(path, kind)``; [] for NULL."""
+    root = F.filter(F.array(_opened(F.lit("$"), v)), lambda n: n["v"].isNotNull())
     return _walk(
-        start,
+        root,
         bound,
         lambda frontier: F.transform(
             frontier,
-            lambda n: F.struct(n["path"].alias("path"), kind(n["v"], mark_empty).alias("kind")),
+            lambda n: F.struct(
+                n["path"].alias("path"), _kind(n["v"], n["m"], n["a"], mark_empty).alias("kind")
+            ),
         ),
         PATHS_AND_KINDS,
     )
 
 
-def _is_leaf(v: Column) -> Column:
-    return F.coalesce(F.size(as_object(v)), F.size(as_array(v)), F.lit(0)) <= 0
-
-
 def leaf_paths(start: Column, bound: Column) -> Column:
     """Distinct paths of scalars and empty containers under the values in ``start``."""
     found = _walk(
-        start,
+        F.transform(start, lambda n: _opened(n["path"], n["v"])),
         bound,
         lambda frontier: F.transform(
-            F.filter(frontier, lambda n: _is_leaf(n["v"])), lambda n: n["path"]
+            F.filter(
+                frontier, lambda n: F.coalesce(F.size(n["m"]), F.size(n["a"]), F.lit(0)) <= 0
+            ),
+            lambda n: n["path"],
         ),
         "array<string>",
     )

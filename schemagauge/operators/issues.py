@@ -162,7 +162,8 @@ def missing_paths(
 ) -> DataFrame:
     """Distinct ``(entity_idx, path)`` over all rejected rows."""
     rejected = assess(failing_rows(rows, schema, col, mode), schema, col, mode)
-    return rejected.select("entity_idx", F.explode("paths").alias("path")).distinct()
+    named = rejected.select("entity_idx", F.explode_outer("paths").alias("path"))
+    return named.filter(F.col("path").isNotNull()).distinct()
 
 
 def required_edits(

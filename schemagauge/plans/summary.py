@@ -55,7 +55,8 @@ def summarize_many(
     )
     per_path = (
         rows.withColumn("_v", parsed(F.col(col), mode))
-        .select(F.inline(outcomes))
+        .select(F.inline_outer(outcomes))
+        .filter(F.col("name").isNotNull())
         .select(
             "name",
             "status",

@@ -13,8 +13,13 @@ All edges are kept. Which of them a measure follows is told by the ``live_*`` fl
 ``live_paths``      both sorts of alternatives, and properties, else items
 ==================  ==========================================================
 
-``steps`` tells keys (``.a``) from array steps (``[*]``), which ``path``, the plain
-text of the same, cannot do for keys with dots or brackets.
+``sid`` is the way to a node: a letter per edge (``a`` anyOf, ``o`` oneOf, ``i``
+items, ``p`` property) and its position. ``steps`` tells keys (``.a``) from array
+steps (``[*]``), which ``path``, the plain text of the same, cannot do for keys with
+dots or brackets.
+
+The walk carries only what has to come from above. All else is worked out after the
+explode, where it compiles and where columns nobody asks for are pruned.
 """
 
 from __future__ import annotations
@@ -26,44 +31,32 @@ from schemagauge.functions import variants as V
 from schemagauge.operators.schema import BLANKS, KEYWORDS, TYPE_WORDS
 from schemagauge.session import prepare
 
-# State carried down the tree; ``slots`` are the keywords of the node.
+# Bits of ``live``, one per way of going through a schema.
+_VERDICT, _SHAPES, _LEAVES, _PATHS = 1, 2, 4, 8
+_ALL = _VERDICT | _SHAPES | _LEAVES | _PATHS
+
 _CARRIED = {
     "sid": "string",
-    "parent_sid": "string",
-    "edge": "string",
-    "ord": "int",
-    "key": "string",
-    "depth": "int",
-    "path": "string",
     "steps": "array<string>",
-    "key_path": "array<string>",
-    "branch_path": "array<int>",
-    "entity_idx": "int",
     "key_is_required": "boolean",
-    "live_verdict": "boolean",
-    "live_shapes": "boolean",
-    "live_leaves": "boolean",
-    "live_paths": "boolean",
+    "live": "int",
     "outer_type": "string",
     "any_since": "boolean",
-    "root_has_any": "boolean",
 }
-_FOUND = {
+_HEAD = {
     "type": "string",
-    "has_any": "boolean",
-    "n_any": "int",
-    "has_one": "boolean",
-    "n_one": "int",
-    "has_items": "boolean",
-    "has_props": "boolean",
-    "n_props": "int",
     "required": "array<string>",
-    "additional": "boolean",
-    "max_items": "double",
-    "supported": "boolean",
+    "head": "map<string,variant>",
 }
-_FRONTIER = ",".join(f"{n}:{t}" for n, t in _CARRIED.items()) + ",v:variant"
-_DONE = ",".join(f"{n}:{t}" for n, t in {**_CARRIED, **_FOUND}.items())
+_COUNTED = {"n_any": "int", "n_one": "int", "has_items": "boolean", "n_props": "int"}
+
+
+def _array_of(*fields: dict[str, str]) -> str:
+    return "array<struct<%s>>" % ",".join(f"{n}:{t}" for d in fields for n, t in d.items())
+
+
+_PLACE = _array_of(_CARRIED, {"m": "map<string,variant>"})
+_DONE = _array_of(_CARRIED, _HEAD, _COUNTED)
 
 
 def schema_nodes(
@@ -77,323 +70,308 @@ def schema_nodes(
     prepare(schemas.sparkSession)
     plain = F.translate(F.col(text_col), "\\", "")
     document = F.parse_json(plain) if strict else F.try_parse_json(plain)
-    nodes = schemas.select(id_col, F.inline(_walk(document, V.nesting_bound(plain))))
+    walk = _walk(document, V.nesting_bound(F.col(text_col)))
+    # Outer, as for others Spark infers a filter which would walk every tree once more.
+    rows = (
+        schemas.select(id_col, walk.alias("_nodes"))
+        .select(
+            id_col,
+            _cuts(F.col("_nodes")).alias("_cuts"),
+            F.try_element_at("_nodes", F.lit(1))["n_any"].isNotNull().alias("root_has_any"),
+            F.inline_outer("_nodes"),
+        )
+        .filter(F.col("sid").isNotNull())
+    )
+    return _described(rows, id_col, strict)
+
+
+def _described(rows: DataFrame, id_col: str, strict: bool) -> DataFrame:
+    sid, steps = F.col("sid"), F.col("steps")
+    last = F.substring_index("sid", "/", -1)
+    letter = F.left(last, F.lit(1))
+    edge = (
+        F.when(letter == "a", "anyOf")
+        .when(letter == "o", "oneOf")
+        .when(letter == "i", "items")
+        .when(letter == "p", "prop")
+        .otherwise("root")
+    )
+    keys = F.filter(steps, lambda s: s != "[*]")
+    branches = F.filter(F.split(sid, "/"), lambda s: F.left(s, F.lit(1)).isin("a", "o"))
+    head = F.col("head")
+    checked = sid
     if strict:
-        # Part of a column that every use needs, so that it cannot be pruned away.
-        checked = F.when(F.col("supported"), F.col("sid")).otherwise(
-            F.raise_error(F.concat(F.lit("unsupported schema at "), F.col("path")))
+        # In a column every use needs, so that the check cannot be pruned away.
+        checked = F.when(_supported(head), sid).otherwise(
+            F.raise_error(F.concat(F.lit("unsupported schema at $"), F.array_join(steps, "")))
         )
-        nodes = nodes.withColumn("sid", checked)
-    return nodes
+    return rows.select(
+        id_col,
+        checked.alias("sid"),
+        F.when(sid != "", F.left(sid, F.length(sid) - F.length(last) - 1)).alias("parent_sid"),
+        edge.alias("edge"),
+        F.substring(last, 2, 10).try_cast("int").alias("ord"),
+        F.when(letter == "p", _key_of(F.element_at(steps, -1))).alias("key"),
+        (F.length(sid) - F.length(F.replace(sid, F.lit("/"), F.lit("")))).alias("depth"),
+        F.concat(F.lit("$"), F.array_join(steps, "")).alias("path"),
+        "steps",
+        F.transform(keys, _key_of).alias("key_path"),
+        F.transform(branches, _position).alias("branch_path"),
+        F.when(F.startswith(sid, F.lit("/a")), _position(F.split_part(sid, F.lit("/"), F.lit(2))))
+        .alias("entity_idx"),
+        "root_has_any",
+        "key_is_required",
+        *[
+            (F.col("live").bitwiseAND(F.lit(bit)) != 0).alias(name)
+            for name, bit in (
+                ("live_verdict", _VERDICT),
+                ("live_shapes", _SHAPES),
+                ("live_leaves", _LEAVES),
+                ("live_paths", _PATHS),
+            )
+        ],
+        "outer_type",
+        "any_since",
+        "type",
+        F.col("n_any").isNotNull().alias("has_any"),
+        F.coalesce("n_any", F.lit(0)).alias("n_any"),
+        F.col("n_one").isNotNull().alias("has_one"),
+        F.coalesce("n_one", F.lit(0)).alias("n_one"),
+        "has_items",
+        F.col("n_props").isNotNull().alias("has_props"),
+        F.coalesce("n_props", F.lit(0)).alias("n_props"),
+        "required",
+        _additional(head).alias("additional"),
+        # Both words limit arrays; the text order of the two is lost in a VARIANT.
+        F.coalesce(_number(head, "maxItems"), _number(head, "maxProperties")).alias("max_items"),
+        _supported(head).alias("supported"),
+        F.array_contains("_cuts", sid).alias("cut"),
+        F.exists("_cuts", lambda c: F.startswith(sid, F.concat(c, F.lit("/")))).alias("under_cut"),
+    )
+
+
+def _key_of(step: Column) -> Column:
+    return F.substring(step, 2, 2**31 - 1)
+
+
+def _position(segment: Column) -> Column:
+    return F.substring(segment, 2, 10).try_cast("int")
+
+
+# --- the walk ---------------------------------------------------------------------------
 
 
 def _walk(document: Column, bound: Column) -> Column:
-    root = F.array(
-        F.struct(
-            F.lit("").alias("sid"),
-            F.lit(None).cast("string").alias("parent_sid"),
-            F.lit("root").alias("edge"),
-            F.lit(None).cast("int").alias("ord"),
-            F.lit(None).cast("string").alias("key"),
-            F.lit(0).alias("depth"),
-            F.lit("$").alias("path"),
-            V.empty("array<string>").alias("steps"),
-            V.empty("array<string>").alias("key_path"),
-            V.empty("array<int>").alias("branch_path"),
-            F.lit(None).cast("int").alias("entity_idx"),
-            F.lit(False).alias("key_is_required"),
-            *[F.lit(True).alias(n) for n in _CARRIED if n.startswith("live_")],
-            F.lit("object").alias("outer_type"),
-            F.lit(False).alias("any_since"),
-            V.as_array(_slot(V.as_object(document), "anyOf")).isNotNull().alias("root_has_any"),
-            document.alias("v"),
-        )
-    )
-    start = F.struct(
-        F.when(document.isNull(), V.empty(f"array<struct<{_FRONTIER}>>"))
-        .otherwise(root)
-        .cast(f"array<struct<{_FRONTIER}>>")
-        .alias("frontier"),
-        V.empty(f"array<struct<{_DONE}>>").alias("done"),
+    root = V.record(
+        sid=F.lit(""),
+        steps=V.empty("array<string>"),
+        key_is_required=F.lit(False),
+        live=F.lit(_ALL),
+        outer_type=F.lit("object"),
+        any_since=F.lit(False),
+        m=V.as_object(document),
     )
+    roots = F.when(document.isNotNull(), F.array(root)).otherwise(V.empty(_PLACE))
+    start = V.record(frontier=_opened(roots), done=V.empty(_DONE))
 
     def step(state: Column, _: Column) -> Column:
         frontier = state["frontier"]
         return F.when(F.size(frontier) == 0, state).otherwise(
-            F.struct(
-                F.flatten(F.transform(frontier, _children))
-                .cast(f"array<struct<{_FRONTIER}>>")
-                .alias("frontier"),
-                F.concat(
-                    state["done"],
-                    F.flatten(F.transform(frontier, lambda n: F.array(_finished(n)))).cast(
-                        f"array<struct<{_DONE}>>"
-                    ),
-                ).alias("done"),
+            V.record(
+                frontier=_opened(F.flatten(F.transform(frontier, _children))),
+                done=F.concat(state["done"], F.transform(frontier, _finished)),
             )
         )
 
-    found = F.aggregate(F.sequence(F.lit(1), bound), start, step, lambda s: s["done"])
-    return _mark_cuts(found)
+    return F.aggregate(F.sequence(F.lit(1), bound), start, step, lambda s: s["done"])
 
 
-def _mark_cuts(found: Column) -> Column:
-    """Add ``cut`` and ``under_cut``, the rule for repeated open objects.
+def _opened(places: Column) -> Column:
+    """Read the keywords of each place once, for itself and for what is below."""
 
-    Going through a document branch by branch, an open object whose key path was
-    seen open before is cut: it counts once, and nothing below it is looked at.
-    """
-
-    def cuts_of(nodes: Column) -> Column:
-        is_open = F.filter(
-            nodes,
-            lambda n: n["live_shapes"]
-            & n["additional"]
-            & ~(n["has_any"] | n["has_one"] | n["has_items"]),
-        )
-        in_order = F.array_sort(
-            F.transform(
-                is_open,
-                lambda n: F.struct(
-                    F.transform(
-                        F.split(n["sid"], "/"), lambda s: F.substring(s, 2, 10).try_cast("int")
-                    ).alias("ords"),
-                    n["sid"].alias("sid"),
-                    n["key_path"].alias("key_path"),
-                ),
-            )
+    def opened(n: Column) -> Column:
+        m = n["m"]
+        return V.record(
+            **{name: n[name] for name in _CARRIED},
+            type=_type(m),
+            required=_required(m),
+            head=F.map_filter(m, lambda k, _: ~k.isin("properties", "items")),
+            any_of=V.as_array(_slot(m, "anyOf")),
+            one_of=V.as_array(_slot(m, "oneOf")),
+            items=_slot(m, "items"),
+            props=V.as_object(_slot(m, "properties")),
         )
-        start = F.struct(
-            V.empty("array<array<string>>").alias("seen"), V.empty("array<string>").alias("cuts")
+
+    return F.transform(places, opened)
+
+
+def _finished(n: Column) -> Column:
+    def size(v: Column) -> Column:
+        return F.when(v.isNotNull(), F.size(v))
+
+    return V.record(
+        **{name: n[name] for name in (*_CARRIED, *_HEAD)},
+        n_any=size(n["any_of"]),
+        n_one=size(n["one_of"]),
+        has_items=n["items"].isNotNull(),
+        n_props=size(n["props"]),
+    )
+
+
+def _children(n: Column) -> Column:
+    """All four sorts of children of an opened node."""
+    has_any, has_one = n["any_of"].isNotNull(), n["one_of"].isNotNull()
+    has_items, has_props = n["items"].isNotNull(), n["props"].isNotNull()
+
+    def mask(*bits: tuple[int, Column | None]) -> Column:
+        total = F.lit(0)
+        for bit, condition in bits:
+            total = total + (F.lit(bit) if condition is None else F.when(condition, bit).otherwise(0))
+        return n["live"].bitwiseAND(total)
+
+    def child(tag, position, steps, required, live, outer, since, v):
+        return V.record(
+            sid=F.concat_ws("", n["sid"], F.lit("/" + tag), position.cast("string")),
+            steps=steps,
+            key_is_required=required,
+            live=live,
+            outer_type=outer,
+            any_since=since,
+            m=V.as_object(v),
         )
 
-        def step(state: Column, n: Column) -> Column:
-            # What lies under a cut object directly follows it in this order.
-            last = F.coalesce(F.try_element_at(state["cuts"], F.lit(-1)), F.lit("-"))
-            return (
-                F.when(F.startswith(n["sid"], F.concat(last, F.lit("/"))), state)
-                .when(
-                    F.array_contains(state["seen"], n["key_path"]),
-                    F.struct(
-                        state["seen"].alias("seen"),
-                        F.concat(state["cuts"], F.array(n["sid"])).alias("cuts"),
-                    ),
-                )
-                .otherwise(
-                    F.struct(
-                        F.concat(state["seen"], F.array(n["key_path"])).alias("seen"),
-                        state["cuts"].alias("cuts"),
-                    )
-                )
-            )
+    no, yes = F.lit(False), F.lit(True)
+    of_any = mask((_ALL, None))
+    of_one = mask((_VERDICT, ~has_any), (_SHAPES, ~has_any), (_PATHS, None))
+    of_items = mask(
+        (_VERDICT, ~has_any & ~has_one),
+        (_SHAPES, ~has_any & ~has_one),
+        (_LEAVES, ~has_any),
+        (_PATHS, ~has_props),
+    )
+    of_props = mask(
+        (_VERDICT, ~has_any & ~has_one),
+        (_SHAPES, ~has_any & ~has_one & ~has_items),
+        (_LEAVES, ~has_any & ~has_items),
+        (_PATHS, None),
+    )
 
-        return F.aggregate(in_order, start, step, lambda s: s["cuts"])
-
-    def marked(nodes: Column) -> Column:
-        return V.bind_array(
-            cuts_of(nodes),
-            lambda cuts: F.transform(
-                nodes,
-                lambda n: F.struct(
-                    *[n[name].alias(name) for name in (*_CARRIED, *_FOUND)],
-                    F.array_contains(cuts, n["sid"]).alias("cut"),
-                    F.exists(
-                        cuts, lambda c: F.startswith(n["sid"], F.concat(c, F.lit("/")))
-                    ).alias("under_cut"),
-                ),
-            ),
+    def branches(field: str, tag: str, live: Column, since: Column) -> Column:
+        return F.transform(
+            n[field],
+            lambda x, i: child(tag, i, n["steps"], no, live, n["outer_type"], since, x),
         )
 
-    return V.bind_array(found, marked)
+    def item(x: Column) -> Column:
+        steps = F.array_append(n["steps"], "[*]")
+        return child("i", F.lit(0), steps, no, of_items, n["type"], no, x)
+
+    def prop(e: Column, i: Column) -> Column:
+        key = F.ltrim(e["key"], F.lit(BLANKS))
+        steps = F.array_append(n["steps"], F.concat_ws("", F.lit("."), key))
+        required = F.array_contains(n["required"], key)
+        return child("p", i, steps, required, of_props, n["type"], no, e["value"])
+
+    sorts = F.array(
+        branches("any_of", "a", of_any, yes),
+        branches("one_of", "o", of_one, n["any_since"]),
+        F.transform(F.filter(F.array(n["items"]), lambda x: x.isNotNull()), item),
+        F.transform(F.map_entries(n["props"]), prop),
+    )
+    return F.flatten(F.filter(sorts, lambda s: s.isNotNull()))
 
 
-def _slot(m: Column, keyword: str) -> Column:
-    return F.element_at(m, F.lit(keyword))
+# --- keywords ---------------------------------------------------------------------------
 
 
-def _text(v: Column) -> Column:
-    """The text of a string value, NULL for any other kind."""
-    return F.when(V.is_string(v), F.try_variant_get(v, "$", "string"))
+def _slot(m: Column, keyword: str) -> Column:
+    return F.element_at(m, F.lit(keyword))
 
 
 def _type(m: Column) -> Column:
-    word = F.trim(_text(_slot(m, "type")), F.lit(BLANKS))
+    v = _slot(m, "type")
+    word = F.when(V.is_string(v), F.try_variant_get(v, "$", "string"))
     pairs = [F.lit(x) for pair in TYPE_WORDS.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), word)
+    return F.element_at(F.create_map(*pairs), F.trim(word, F.lit(BLANKS)))
 
 
 def _required(m: Column) -> Column:
-    names = F.coalesce(V.as_array(_slot(m, "required")), V.empty("array<variant>"))
-    return F.array_distinct(
-        F.transform(names, lambda x: F.ltrim(F.try_variant_get(x, "$", "string"), F.lit(BLANKS)))
+    names = F.try_variant_get(_slot(m, "required"), "$", "array<string>")
+    return F.coalesce(
+        F.array_distinct(F.transform(names, lambda x: F.ltrim(x, F.lit(BLANKS)))),
+        V.empty("array<string>"),
     )
 
 
-def _number(m: Column, keyword: str) -> Column:
-    return F.try_variant_get(_slot(m, keyword), "$", "double")
+def _additional(m: Column) -> Column:
+    return F.coalesce(
+        F.try_variant_get(_slot(m, "additionalProperties"), "$", "boolean"), F.lit(False)
+    )
 
 
-def _finished(n: Column) -> Column:
-    """Carried state of a node and its keywords."""
-    m = V.as_object(n["v"])
-    any_of, one_of = V.as_array(_slot(m, "anyOf")), V.as_array(_slot(m, "oneOf"))
-    props = V.as_object(_slot(m, "properties"))
-    found = {
-        "type": _type(m),
-        "has_any": any_of.isNotNull(),
-        "n_any": F.coalesce(F.size(any_of), F.lit(0)),
-        "has_one": one_of.isNotNull(),
-        "n_one": F.coalesce(F.size(one_of), F.lit(0)),
-        "has_items": _slot(m, "items").isNotNull(),
-        "has_props": props.isNotNull(),
-        "n_props": F.coalesce(F.size(props), F.lit(0)),
-        "required": _required(m),
-        "additional": F.coalesce(
-            F.try_variant_get(_slot(m, "additionalProperties"), "$", "boolean"), F.lit(False)
-        ),
-        # Both words limit arrays; the text order of the two is lost in a VARIANT.
-        "max_items": F.coalesce(_number(m, "maxItems"), _number(m, "maxProperties")),
-        "supported": _supported(m),
-    }
-    return F.struct(
-        *[n[name].alias(name) for name in _CARRIED],
-        *[value.alias(name) for name, value in found.items()],
-    )
+def _number(m: Column, keyword: str) -> Column:
+    return F.try_variant_get(_slot(m, keyword), "$", "double")
 
 
-def _supported(m: Column) -> Column:
-    """Only known keywords, each with a value of the kind it takes."""
+def _supported(head: Column) -> Column:
+    """Only known keywords, each with a value of the kind it takes.
 
-    def all_strings(v: Column) -> Column:
-        return F.coalesce(F.forall(V.as_array(v), V.is_string), F.lit(False))
+    ``properties`` and ``items`` are told by the nodes below them.
+    """
 
     def entry(e: Column) -> Column:
         word, v = e["key"], e["value"]
+        texts = F.coalesce(F.forall(V.as_array(v), V.is_string), F.lit(False))
         return (
-            F.when(word == "type", _type(m).isNotNull())
-            .when(word == "required", all_strings(v))
+            F.when(word == "type", F.col("type").isNotNull())
+            .when(word == "required", texts)
             .when(word.isin("anyOf", "oneOf"), V.as_array(v).isNotNull())
-            .when(word.isin("properties", "items"), V.as_object(v).isNotNull())
             .when(word.isin("maxItems", "maxProperties"), V.is_number(v))
             .when(word == "additionalProperties", V.is_boolean(v))
             .when(word.isin(list(KEYWORDS)), V.is_string(v))
             .otherwise(False)
         )
 
-    return F.coalesce(F.forall(F.map_entries(m), entry), F.lit(False))
+    return F.coalesce(F.forall(F.map_entries(head), entry), F.lit(False))
 
 
-def _children(n: Column) -> Column:
-    """All four sorts of children of a frontier node, as new frontier nodes."""
-    return V.bind_array(V.as_object(n["v"]), lambda m: _children_of(n, m))
-
-
-def _children_of(n: Column, m: Column) -> Column:
-    has_any = V.as_array(_slot(m, "anyOf")).isNotNull()
-    has_one = V.as_array(_slot(m, "oneOf")).isNotNull()
-    has_items = _slot(m, "items").isNotNull()
-    has_props = V.as_object(_slot(m, "properties")).isNotNull()
-    root = n["edge"] == "root"
-
-    def child(edge, tag, position, key, v, live, **changed):
-        below = n["path"]
-        steps, keys, branches = n["steps"], n["key_path"], n["branch_path"]
-        if edge == "prop":
-            below = F.concat(below, F.lit("."), key)
-            steps = F.concat(steps, F.array(F.concat(F.lit("."), key)))
-            keys = F.concat(keys, F.array(key))
-        elif edge == "items":
-            below = F.concat(below, F.lit("[*]"))
-            steps = F.concat(steps, F.array(F.lit("[*]")))
-        else:
-            branches = F.concat(branches, F.array(position.cast("int")))
-        entity = n["entity_idx"]
-        if edge == "anyOf":
-            entity = F.when(root, position.cast("int")).otherwise(entity)
-        state = {
-            "sid": F.concat(n["sid"], F.lit("/" + tag), position.cast("string")),
-            "parent_sid": n["sid"],
-            "edge": F.lit(edge),
-            "ord": position.cast("int"),
-            "key": key if key is not None else F.lit(None).cast("string"),
-            "depth": n["depth"] + 1,
-            "path": below,
-            "steps": steps,
-            "key_path": keys,
-            "branch_path": branches,
-            "entity_idx": entity,
-            "key_is_required": changed.get("required", F.lit(False)),
-            **{name: n[name] & condition for name, condition in live.items()},
-            "outer_type": _type(m) if edge in ("prop", "items") else n["outer_type"],
-            "any_since": {"anyOf": F.lit(True), "oneOf": n["any_since"]}.get(edge, F.lit(False)),
-            "root_has_any": n["root_has_any"],
-        }
-        return F.struct(*[state[c].alias(c) for c in _CARRIED], v.alias("v"))
-
-    def branches(keyword, tag, live):
-        return V.bind_array(
-            V.as_array(_slot(m, keyword)),
-            lambda a: F.transform(a, lambda x, i: child(keyword, tag, i, None, x, live)),
-        )
+# --- repeated open objects --------------------------------------------------------------
 
-    always = F.lit(True)
-    any_of = branches(
-        "anyOf",
-        "a",
-        {
-            "live_verdict": always,
-            "live_shapes": always,
-            "live_leaves": always,
-            "live_paths": always,
-        },
-    )
-    one_of = branches(
-        "oneOf",
-        "o",
-        {
-            "live_verdict": ~has_any,
-            "live_shapes": ~has_any,
-            "live_leaves": F.lit(False),
-            "live_paths": always,
-        },
-    )
-    items = V.bind_array(
-        _slot(m, "items"),
-        lambda x: F.array(
-            child(
-                "items",
-                "i",
-                F.lit(0),
-                None,
-                x,
-                {
-                    "live_verdict": ~has_any & ~has_one,
-                    "live_shapes": ~has_any & ~has_one,
-                    "live_leaves": ~has_any,
-                    "live_paths": ~has_props,
-                },
-            )
-        ),
+
+def _cuts(nodes: Column) -> Column:
+    """``sid`` of each open object whose key path was seen open before.
+
+    Going through a document branch by branch, such an object counts once, and
+    nothing below it is looked at.
+    """
+    is_open = F.filter(
+        nodes,
+        lambda n: (n["live"].bitwiseAND(F.lit(_SHAPES)) != 0)
+        & n["n_any"].isNull()
+        & n["n_one"].isNull()
+        & ~n["has_items"]
+        & _additional(n["head"]),
     )
-    names = _required(m)
-    properties = V.bind_array(
-        V.as_object(_slot(m, "properties")),
-        lambda p: F.transform(
-            F.map_entries(p),
-            lambda e, i: child(
-                "prop",
-                "p",
-                i,
-                F.ltrim(e["key"], F.lit(BLANKS)),
-                e["value"],
-                {
-                    "live_verdict": ~has_any & ~has_one,
-                    "live_shapes": ~has_any & ~has_one & ~has_items,
-                    "live_leaves": ~has_any & ~has_items,
-                    "live_paths": always,
-                },
-                required=F.array_contains(names, F.ltrim(e["key"], F.lit(BLANKS))),
+    in_order = F.array_sort(
+        F.transform(
+            is_open,
+            lambda n: V.record(
+                positions=F.transform(F.split(n["sid"], "/"), _position),
+                sid=n["sid"],
+                keys=F.filter(n["steps"], lambda s: s != "[*]"),
             ),
-        ),
+        )
     )
-    return F.concat(any_of, one_of, items, properties)
+    start = V.record(seen=V.empty("array<array<string>>"), cuts=V.empty("array<string>"))
+
+    def step(state: Column, n: Column) -> Column:
+        # What lies under a cut object directly follows it in this order.
+        last = F.coalesce(F.try_element_at(state["cuts"], F.lit(-1)), F.lit("-"))
+        repeated = F.array_contains(state["seen"], n["keys"])
+        seen = F.when(repeated, state["seen"]).otherwise(F.array_append(state["seen"], n["keys"]))
+        cuts = F.when(repeated, F.array_append(state["cuts"], n["sid"])).otherwise(state["cuts"])
+        return F.when(F.startswith(n["sid"], F.concat(last, F.lit("/"))), state).otherwise(
+            V.record(seen=seen, cuts=cuts)
+        )
+
+    return F.aggregate(in_order, start, step, lambda s: s["cuts"])

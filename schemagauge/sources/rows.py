@@ -47,9 +47,10 @@ def shred(rows: DataFrame, col: str = "value", mark_empty: bool = True) -> DataF
     """
     prepare(rows.sparkSession)
     found = V.all_paths(F.try_parse_json(col), V.nesting_bound(F.col(col)), mark_empty)
+    # Outer, as for others Spark infers a filter which would walk every record once more.
     return rows.select(
-        *[c for c in rows.columns if c != col], F.inline(found).alias("path", "kind")
-    )
+        *[c for c in rows.columns if c != col], F.inline_outer(found).alias("path", "kind")
+    ).filter(F.col("path").isNotNull())
 
 
 @dataclass(frozen=True)
