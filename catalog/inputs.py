@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemagauge.session import spread_if_few
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rows_of(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows become JSON one by one."""
+    return spread_if_few(table(spark, folder, name).select(*columns))
+
+
 def every(column: str, n: int) -> Column:
     return F.col(column) % n == 0
 
@@ -38,7 +45,17 @@ def flat_rows(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     price = F.col("o_totalprice")
-    return table(spark, folder, "orders").select(
+    orders = rows_of(
+        spark,
+        folder,
+        "orders",
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_totalprice",
+        "o_orderpriority",
+    )
+    return orders.select(
         F.col("o_orderkey").alias("key"),
         F.when(every("o_orderkey", 11), record(price.cast("string")))
         .otherwise(record(price))
@@ -75,7 +92,10 @@ def nested_rows(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.when(
         length > 0, F.transform(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), line)
     ).otherwise(F.array().cast("array<struct<no:int,qty:double,flag:string>>"))
-    return table(spark, folder, "lineitem").select(
+    lineitem = rows_of(
+        spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"
+    )
+    return lineitem.select(
         F.col("l_orderkey").alias("key"),
         F.col("l_linenumber").cast("bigint").alias("no"),
         F.to_json(
@@ -123,7 +143,9 @@ def mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
             "value",
         )
     )
-    events = table(spark, folder, "events").select(
+    events = rows_of(
+        spark, folder, "events", "event_id", "user_id", "event_type", "value", "props"
+    ).select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
         F.concat(
             F.left(known, F.length(known) - 1),
@@ -145,7 +167,9 @@ def mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     bare = customer()
-    customers = table(spark, folder, "customer").select(
+    customers = rows_of(
+        spark, folder, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"
+    ).select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
         F.when(
             every("c_custkey", 9),
@@ -154,7 +178,7 @@ def mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(customer(F.col("c_acctbal").alias("bal")))
         .alias("value"),
     )
-    turns = table(spark, folder, "conversations").select(
+    turns = rows_of(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         F.concat_ws(
             "-", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")
         ).alias("id"),
@@ -206,7 +230,7 @@ def customer_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def props_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``(event_id, value)``: the ``props`` of events, every 17th empty."""
-    return table(spark, folder, "events").select(
+    return rows_of(spark, folder, "events", "event_id", "props").select(
         "event_id", F.when(every("event_id", 17), "{}").otherwise(F.col("props")).alias("value")
     )
 
@@ -219,7 +243,7 @@ def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
     is an array and two are objects, of which every 25th line is broken off."""
     record = F.to_json(F.struct("event_id", "event_type"))
     turn = F.col("event_id") % 5
-    return table(spark, folder, "events").select(
+    return rows_of(spark, folder, "events", "event_id", "event_type").select(
         "event_id",
         F.when(turn == 0, "")
         .when(turn == 1, F.concat(F.lit(" "), record))
@@ -259,7 +283,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(rec == 0, "string").otherwise("number"), F.lit('"}}}'),
     )
     return (
-        table(spark, folder, "orders")
+        rows_of(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
         .select("*", F.explode(F.sequence(F.lit(0), 2 * (key % 3).cast("int") + 1)).alias("p"))
         .withColumn("pos", F.col("p").cast("bigint"))
         .select(
@@ -321,7 +345,7 @@ def array_schemas(spark: SparkSession, folder: str) -> DataFrame:
     items = F.when(
         every("o_orderkey", 3), '{"anyOf":[%s,{"type":"string"}]}' % inner
     ).otherwise(inner)
-    return table(spark, folder, "orders").select(
+    return rows_of(spark, folder, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("schema_id"),
         F.concat(
             F.lit('{"type":"object","properties":{"arr":{"type":"array","items":'),

@@ -80,14 +80,21 @@ def _any(branches: tuple[Schema, ...], v: Column, mode: str) -> Column:
 def _object(node: Schema, m: Column, mode: str) -> Column:
     tests = []
     if node.required and not node.additional:
-        present = [F.map_contains_key(m, F.lit(k)) for k in sorted(node.required)]
-        tests.append(balanced(present, lambda a, b: a & b, F.lit(True)))
+        tests.append(_all_present(sorted(node.required), m))
     if node.max_properties is not None:
         tests.append((F.size(m) == 0) | (F.size(m) <= F.lit(node.max_properties)))
     tests.append(members_hold(node, m, mode))
     return balanced(tests, lambda a, b: a & b, F.lit(True))
 
 
+def _all_present(required: list[str], m: Column) -> Column:
+    if len(required) <= 2:
+        present = [F.map_contains_key(m, F.lit(k)) for k in required]
+        return balanced(present, lambda a, b: a & b, F.lit(True))
+    # Keys are distinct, so all are present if as many are found.
+    return F.size(F.filter(F.map_keys(m), lambda k: k.isin(required))) == len(required)
+
+
 def members_hold(node: Schema, m: Column, mode: str) -> Column:
     """Every member is a known property that holds, or unknown and allowed."""
     if node.properties is None:
