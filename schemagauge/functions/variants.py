@@ -90,15 +90,25 @@ def kind(v: Column, mark_empty: bool = True) -> Column:
 
 
 def nesting_bound(text: Column) -> Column:
-    """A number of levels no walk over the JSON in ``text`` can exceed.
+    """Number of levels of the JSON in ``text``: a walk over it takes as many steps.
 
-    Each level opens with a bracket of its own, so counting them is enough.
+    Brackets within strings do not count. Every step of a walk copies what was found
+    so far, so the number should not be larger than need be.
     """
+    unescaped = F.replace(
+        F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")
+    )
+    outside = F.filter(F.split(unescaped, '"'), lambda _, i: i % 2 == 0)
+    brackets = F.regexp_replace(F.array_join(outside, ""), r"[^\[\]{}]+", "")
+    start = record(now=F.lit(0), most=F.lit(0))
 
-    def others(bracket: str) -> Column:
-        return F.length(F.replace(text, F.lit(bracket), F.lit("")))
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
+        return record(now=now, most=F.greatest(state["most"], now))
 
-    return 2 * F.length(text) - others("{") - others("[") + 1
+    return F.aggregate(
+        F.filter(F.split(brackets, ""), lambda b: b != ""), start, step, lambda s: s["most"] + 1
+    )
 
 
 def below(path: Column, key: Column) -> Column:

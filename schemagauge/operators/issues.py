@@ -93,12 +93,10 @@ def charged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfas
     Under a root ``anyOf`` the row is charged to the branch with the fewest paths,
     none counting as one, and to the first of several such branches.
     """
-    per_entity = F.array(
-        *[
-            V.leaf_paths(missing(entity, v, F.lit("$"), mode), bound)
-            for entity in to_schema(schema).entities()
-        ]
+    unknown = F.array(
+        *[missing(entity, v, F.lit("$"), mode) for entity in to_schema(schema).entities()]
     )
+    per_entity = F.transform(unknown, lambda start: V.leaf_paths(start, bound))
     return F.array_min(
         F.transform(
             per_entity,

@@ -70,16 +70,17 @@ def schema_nodes(
     prepare(schemas.sparkSession)
     plain = F.translate(F.col(text_col), "\\", "")
     document = F.parse_json(plain) if strict else F.try_parse_json(plain)
-    walk = _walk(document, V.nesting_bound(F.col(text_col)))
+    walk = _walk(document, V.nesting_bound(plain))
     # Outer, as for others Spark infers a filter which would walk every tree once more.
     rows = (
         schemas.select(id_col, walk.alias("_nodes"))
         .select(
             id_col,
+            "_nodes",
             _cuts(F.col("_nodes")).alias("_cuts"),
             F.try_element_at("_nodes", F.lit(1))["n_any"].isNotNull().alias("root_has_any"),
-            F.inline_outer("_nodes"),
         )
+        .select(id_col, "_cuts", "root_has_any", F.inline_outer("_nodes"))
         .filter(F.col("sid").isNotNull())
     )
     return _described(rows, id_col, strict)
