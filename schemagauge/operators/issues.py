@@ -143,15 +143,26 @@ def failing_rows(
     return rows.filter(~verdict(schema, parsed(F.col(col), mode), mode))
 
 
+def _rejected(rows: DataFrame, schema: str | Schema, col: str, mode: str) -> DataFrame:
+    """Rows that parse but fail, with what they are charged as ``_charge``."""
+    prepare(rows.sparkSession)
+    node = to_schema(schema)
+    v = parsed(F.col(col), mode)
+    failing = rows.filter(v.isNotNull() & ~verdict(node, v, mode))
+    return failing.withColumn(
+        "_charge", charged(node, v, V.nesting_bound(F.col(col)), mode)
+    )
+
+
 def best_entity(
     rows: DataFrame, schema: str | Schema, col: str = "value", mode: str = "permissive"
 ) -> DataFrame:
     """Rejected rows with the entity each is charged to and its number of paths."""
-    rejected = assess(failing_rows(rows, schema, col, mode), schema, col, mode)
     return (
-        rejected.filter(F.col("status") == "rejected")
-        .withColumn("n_paths", F.size("paths"))
-        .drop("status", "paths")
+        _rejected(rows, schema, col, mode)
+        .withColumn("entity_idx", F.col("_charge.entity_idx"))
+        .withColumn("n_paths", F.size("_charge.paths"))
+        .drop("_charge")
     )
 
 
@@ -159,8 +170,10 @@ def missing_paths(
     rows: DataFrame, schema: str | Schema, col: str = "value", mode: str = "permissive"
 ) -> DataFrame:
     """Distinct ``(entity_idx, path)`` over all rejected rows."""
-    rejected = assess(failing_rows(rows, schema, col, mode), schema, col, mode)
-    named = rejected.select("entity_idx", F.explode_outer("paths").alias("path"))
+    named = _rejected(rows, schema, col, mode).select(
+        F.col("_charge.entity_idx").alias("entity_idx"),
+        F.explode_outer("_charge.paths").alias("path"),
+    )
     return named.filter(F.col("path").isNotNull()).distinct()
 
 

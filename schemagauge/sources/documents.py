@@ -24,6 +24,9 @@ explode, where it compiles and where columns nobody asks for are pruned.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,26 +71,46 @@ def schema_nodes(
     broken documents have no nodes and others are told by ``supported``.
     """
     prepare(schemas.sparkSession)
+    walk, rest, columns, unsupported = _expressions(schemas.sparkSession.sparkContext)
     plain = F.translate(F.col(text_col), "\\", "")
     document = F.parse_json(plain) if strict else F.try_parse_json(plain)
-    walk = _walk(document, V.nesting_bound(plain))
     # Outer, as for others Spark infers a filter which would walk every tree once more.
     rows = (
-        schemas.select(id_col, walk.alias("_nodes"))
-        .select(
-            id_col,
-            "_nodes",
-            _cuts(F.col("_nodes")).alias("_cuts"),
-            F.try_element_at("_nodes", F.lit(1))["n_any"].isNotNull().alias("root_has_any"),
+        schemas.select(
+            id_col, document.alias("_document"), V.nesting_bound(plain).alias("_levels")
         )
+        .select(id_col, walk.alias("_nodes"))
+        .select(id_col, "_nodes", *rest)
         .select(id_col, "_cuts", "root_has_any", F.inline_outer("_nodes"))
         .filter(F.col("sid").isNotNull())
     )
-    return _described(rows, id_col, strict)
+    if strict:
+        # In a filter, which unlike a column is not pruned away where nobody asks for it.
+        rows = rows.filter(unsupported)
+    return rows.select(id_col, *columns)
+
+
+@lru_cache(maxsize=4)
+def _expressions(context: SparkContext) -> tuple[Column, list[Column], list[Column], Column]:
+    """The walk over ``_document``, what is told of ``_nodes`` as a whole and of each node,
+    and a condition which fails at a node that is not supported.
+
+    They are the same for every table, and long enough to be worth keeping.
+    """
+    nodes = F.col("_nodes")
+    root_has_any = F.try_element_at(nodes, F.lit(1))["n_any"].isNotNull()
+    message = F.concat(F.lit("unsupported schema at $"), F.array_join("steps", ""))
+    fine = F.col("sid").isNull() | _supported(F.col("head"))
+    return (
+        _walk(F.col("_document"), F.col("_levels")),
+        [_cuts(nodes).alias("_cuts"), root_has_any.alias("root_has_any")],
+        _described(),
+        F.when(fine, True).otherwise(F.raise_error(message).cast("boolean")),
+    )
 
 
-def _described(rows: DataFrame, id_col: str, strict: bool) -> DataFrame:
-    sid, steps = F.col("sid"), F.col("steps")
+def _described() -> list[Column]:
+    sid, steps, head = F.col("sid"), F.col("steps"), F.col("head")
     last = F.substring_index("sid", "/", -1)
     letter = F.left(last, F.lit(1))
     edge = (
@@ -99,29 +122,21 @@ def _described(rows: DataFrame, id_col: str, strict: bool) -> DataFrame:
     )
     keys = F.filter(steps, lambda s: s != "[*]")
     branches = F.filter(F.split(sid, "/"), lambda s: F.left(s, F.lit(1)).isin("a", "o"))
-    head = F.col("head")
-    checked = sid
-    if strict:
-        # In a column every use needs, so that the check cannot be pruned away.
-        checked = F.when(_supported(head), sid).otherwise(
-            F.raise_error(F.concat(F.lit("unsupported schema at $"), F.array_join(steps, "")))
-        )
-    return rows.select(
-        id_col,
-        checked.alias("sid"),
+    return [
+        sid,
         F.when(sid != "", F.left(sid, F.length(sid) - F.length(last) - 1)).alias("parent_sid"),
         edge.alias("edge"),
         F.substring(last, 2, 10).try_cast("int").alias("ord"),
         F.when(letter == "p", _key_of(F.element_at(steps, -1))).alias("key"),
         (F.length(sid) - F.length(F.replace(sid, F.lit("/"), F.lit("")))).alias("depth"),
         F.concat(F.lit("$"), F.array_join(steps, "")).alias("path"),
-        "steps",
+        steps,
         F.transform(keys, _key_of).alias("key_path"),
         F.transform(branches, _position).alias("branch_path"),
         F.when(F.startswith(sid, F.lit("/a")), _position(F.split_part(sid, F.lit("/"), F.lit(2))))
         .alias("entity_idx"),
-        "root_has_any",
-        "key_is_required",
+        F.col("root_has_any"),
+        F.col("key_is_required"),
         *[
             (F.col("live").bitwiseAND(F.lit(bit)) != 0).alias(name)
             for name, bit in (
@@ -131,24 +146,24 @@ def _described(rows: DataFrame, id_col: str, strict: bool) -> DataFrame:
                 ("live_paths", _PATHS),
             )
         ],
-        "outer_type",
-        "any_since",
-        "type",
+        F.col("outer_type"),
+        F.col("any_since"),
+        F.col("type"),
         F.col("n_any").isNotNull().alias("has_any"),
         F.coalesce("n_any", F.lit(0)).alias("n_any"),
         F.col("n_one").isNotNull().alias("has_one"),
         F.coalesce("n_one", F.lit(0)).alias("n_one"),
-        "has_items",
+        F.col("has_items"),
         F.col("n_props").isNotNull().alias("has_props"),
         F.coalesce("n_props", F.lit(0)).alias("n_props"),
-        "required",
+        F.col("required"),
         _additional(head).alias("additional"),
         # Both words limit arrays; the text order of the two is lost in a VARIANT.
         F.coalesce(_number(head, "maxItems"), _number(head, "maxProperties")).alias("max_items"),
         _supported(head).alias("supported"),
         F.array_contains("_cuts", sid).alias("cut"),
         F.exists("_cuts", lambda c: F.startswith(sid, F.concat(c, F.lit("/")))).alias("under_cut"),
-    )
+    ]
 
 
 def _key_of(step: Column) -> Column:
