@@ -81,7 +81,7 @@ FLAT_OPEN = (
 
 
 def nested_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """``(key, no, value)``; line number modulo 4 tells the length of ``lines``, and
+    """``(key, no, qty, flag, value)``; line number modulo 4 tells the length of ``lines``, and
     every 9th order has a null for the ``flag`` of the first."""
     line = lambda i: F.struct(
         i.alias("no"),
@@ -98,6 +98,8 @@ def nested_rows(spark: SparkSession, folder: str) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").alias("key"),
         F.col("l_linenumber").cast("bigint").alias("no"),
+        F.col("l_quantity").alias("qty"),
+        F.col("l_returnflag").alias("flag"),
         F.to_json(
             F.struct(
                 F.col("l_orderkey").alias("key"),
@@ -202,7 +204,7 @@ def _event(extra: str = "") -> str:
     )
 
 
-_CUSTOMER = (
+CUSTOMER = (
     '{"type":"object","properties":{"cust":{"type":"number"},"name":{"type":"string"},'
     '"bal":{"oneOf":[{"type":"number"},{"type":"null"}]},"seg":{"type":"string"}},'
     '"required":["cust","name"]}'
@@ -211,15 +213,15 @@ _TURN = (
     '{"type":"object","properties":{"conv":{"type":"number"},"turn":{"type":"number"},'
     '"role":{"type":"string"},"text":{"type":"string"}},"required":["conv","turn","role"]}'
 )
-MIXED = '{"anyOf":[%s,%s,%s]}' % (_event(), _CUSTOMER, _TURN)
+MIXED = '{"anyOf":[%s,%s,%s]}' % (_event(), CUSTOMER, _TURN)
 # As above, with a thousand properties no event has, half of them objects.
 _UNUSED = "".join(
     ',"u%d":%s'
     % (i, '{"type":"object","properties":{"v%d":{"type":"string"}}}' % i if i % 2 else '{"type":"null"}')
     for i in range(1000)
 )
-MIXED_WIDE = '{"anyOf":[%s,%s,%s]}' % (_event(_UNUSED), _CUSTOMER, _TURN)
-CUSTOMER_STRICT = _CUSTOMER.replace(
+MIXED_WIDE = '{"anyOf":[%s,%s,%s]}' % (_event(_UNUSED), CUSTOMER, _TURN)
+CUSTOMER_STRICT = CUSTOMER.replace(
     '{"oneOf":[{"type":"number"},{"type":"null"}]}', '{"type":"number"}'
 )
 

@@ -72,7 +72,7 @@ def schema_nodes(
     """
     prepare(schemas.sparkSession)
     walk, rest, columns, unsupported = _expressions(schemas.sparkSession.sparkContext)
-    plain = F.translate(F.col(text_col), "\\", "")
+    plain = F.replace(F.col(text_col), F.lit("\\"), F.lit(""))
     document = F.parse_json(plain) if strict else F.try_parse_json(plain)
     # Outer, as for others Spark infers a filter which would walk every tree once more.
     rows = (
