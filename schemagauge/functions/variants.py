@@ -63,7 +63,8 @@ def is_number(v: Column) -> Column:
     return name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL(")
 
 
-def _scalar_kind(v: Column) -> Column:
+def scalar_kind(v: Column) -> Column:
+    """Kind of a value known to be neither object nor array."""
     names = F.create_map(
         *[F.lit(x) for x in ("STRING", "string", "BOOLEAN", "boolean", "VOID", "null")]
     )
@@ -79,7 +80,7 @@ def _kind(v: Column, members: Column, elements: Column, mark_empty: bool) -> Col
     return (
         F.when(members.isNotNull(), container(F.size(members), "object"))
         .when(elements.isNotNull(), container(F.size(elements), "array"))
-        .otherwise(_scalar_kind(v))
+        .otherwise(scalar_kind(v))
     )
 
 
