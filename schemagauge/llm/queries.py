@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagauge.llm import chat, line_dedup, secret_scan
+from schemagauge.llm import chat, line_dedup, near_dedup, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,3 +52,22 @@ def op2_line_dedup(spark, folder):
 @query
 def op3_chat(spark, folder):
     return chat.render_maximal(_table(spark, folder, "conversations"))
+
+
+@query
+def op9_quality_rules(spark, folder):
+    found = quality_rules.verdicts(_table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return found.select(
+        F.col("rid").alias("doc_id"), *quality_rules.MEASURES, "n_removed", "base_failed", "kept"
+    )
+
+
+@query
+def op10_near_dedup(spark, folder):
+    found = near_dedup.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("rid").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        (F.col("rid") == F.col("component")).alias("kept"),
+    )

@@ -52,3 +52,74 @@ def line_dedup(docs, min_docs=5, min_chars=40):
             kept.append(line)
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def shingles(text, k=5):
+    w = words(text)
+    if not w:
+        return set()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
+
+
+def near(docs, percent=75):
+    """(doc_id, text) pairs to doc_id -> (n_shingles, component)."""
+    sets = {d: shingles(t) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    where = defaultdict(list)
+    for d in sorted(sets):
+        tried = set()
+        for s in sets[d]:
+            for other in where[s]:
+                if other not in tried:
+                    tried.add(other)
+                    both = len(sets[d] & sets[other])
+                    if 100 * both >= percent * (len(sets[d]) + len(sets[other]) - both):
+                        a, b = sorted((root(d), root(other)))
+                        parent[b] = a
+            where[s].append(d)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def quality(text):
+    text = text or ""
+    w = words(text, fold=False)
+    three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = defaultdict(int)
+    for t in three:
+        count[t] += 1
+    inside = {i + j for i, t in enumerate(three) if count[t] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return {
+        "n_words": len(w),
+        "word_chars": sum(map(len, w)),
+        "n_symbols": sum(c in "#*$%&|<>" for c in text),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(inside),
+        "base_failed": len(w) < 50 or 100 * len(inside) > 50 * len(w),
+    }
+
+
+def verdicts(docs, max_docs=10, max_share=0.25):
+    """(doc_id, host, text) rows to doc_id -> (n_removed, kept)."""
+    key = lambda line: tuple(words(line))
+    holders, hosts = defaultdict(set), defaultdict(set)
+    for d, host, text in docs:
+        hosts[host].add(d)
+        for line in (text or "").split("\n"):
+            holders[host, key(line)].add(d)
+    out = {}
+    for d, host, text in docs:
+        removed = 0
+        for line in (text or "").split("\n"):
+            own = holders[host, key(line)]
+            if len(own) > max_docs and len(own) > max_share * len(hosts[host]) and d != min(own):
+                removed += len(key(line))
+        q = quality(text)
+        out[d] = removed, not q["base_failed"] and 2 * (q["n_words"] - removed) >= q["n_words"]
+    return out
