@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagauge.llm import chat, line_dedup, near_dedup, quality_rules, secret_scan
+from schemagauge.llm import (
+    chat,
+    decontaminate,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_files,
+)
+from schemagauge.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,3 +82,29 @@ def op10_near_dedup(spark, folder):
         F.col("component").alias("component_id"),
         (F.col("rid") == F.col("component")).alias("kept"),
     )
+
+
+@query
+def op4_packing(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(found, docs.count()).select(
+        F.col("rid").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query
+def op5_decontamination(spark, folder):
+    return decontaminate.contained_items(
+        _table(spark, folder, "documents").select("doc_id", "text"),
+        _table(spark, folder, "benchmark").select("item_id", "text"),
+    )
+
+
+@query
+def op6_token_files(spark, folder):
+    written = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, folder, "documents").select("doc_id", "text"), written)
+    return token_files.read_tokens(spark, written).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
