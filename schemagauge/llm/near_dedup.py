@@ -7,11 +7,10 @@ Classes that share a band are candidates: the chance to miss a pair at the thres
 of 0.75 is (1 - 0.75**4)**32, about 5 in a million.
 
 A bucket of n classes is never expanded to all its pairs. Each bucket compares its
-members with one member drawn by hash; links join them to components. Only buckets
-that hold several components go on: they draw again, and what is still apart after
-``rounds`` draws is compared completely, the members outside the largest component of
-a bucket with all members of other components. So every candidate pair is either
-compared or already joined, whatever the size of a bucket.
+members with one of them, the one that meets most others in all its buckets; links join
+them to components. Only members of buckets that hold several components go on, all to
+one exact search: sets that are similar enough share one of their rarest shingles, so only
+pairs that do are compared, whatever the size of a bucket, and no link is lost.
 
 Candidates whose signatures agree in fewer than 68 of 128 places go: at the threshold
 that is seven standard deviations below the mean. All others are verified on the full
@@ -186,12 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold several components, with the component of each."""
-    if labels is None:
-        return members.withColumn("component", F.col("rid"))
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: rid, rhash, component, once each."""
     known = members.join(labels, F.col("rid") == F.col("node"), "left").select(
-        "key", "rid", "rhash", "score", F.coalesce("component", "rid").alias("component")
+        "key", "rid", "rhash", F.coalesce("component", "rid").alias("component")
     )
     mixed = (
         known.groupBy("key")
@@ -199,51 +196,80 @@ def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         .filter("low < high")
         .select("key")
     )
-    return known.join(mixed, "key")
+    return known.join(mixed, "key").select("rid", "rhash", "component").distinct()
 
 
-def _draw(placed: DataFrame, step: int) -> DataFrame:
-    """Each member of a bucket with one of them, unless these are joined already.
+def _with_hub(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the one that meets most others in its own buckets.
 
-    First comes the member that meets most others in its buckets, as the original of
-    many copies does, then one by hash.
+    Of many copies that is the original, or the one that was changed least.
     """
-    score = F.col("score") if step == 0 else F.lit(0)
-    lot = F.struct(-score, F.xxhash64(F.lit(step), "rid", "rhash"), "rid", "rhash", "component")
-    drawn = placed.groupBy("key").agg(F.min(lot).alias("p"))
-    drawn = drawn.select(
-        "key",
-        F.col("p.rid").alias("a"),
-        F.col("p.rhash").alias("ah"),
-        F.col("p.component").alias("other"),
-    )
-    met = placed.join(drawn, "key").filter("component <> other")
+    lot = F.struct(-F.col("score"), F.xxhash64("rid", "rhash"), "rid", "rhash")
+    hubs = members.groupBy("key").agg(F.min(lot).alias("p"))
+    hubs = hubs.select("key", F.col("p.rid").alias("a"), F.col("p.rhash").alias("ah"))
+    met = members.join(hubs, "key").filter("rid <> a")
     return met.select("a", "ah", F.col("rid").alias("b"), F.col("rhash").alias("bh")).distinct()
 
 
-def _rest(placed: DataFrame) -> DataFrame:
-    """All pairs in a bucket that lie in different components."""
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"))
-    marked = placed.join(main.select("key", F.col("main.component").alias("main")), "key")
-    apart = marked.filter("component <> main").select("key", F.col("rid").alias("a"), F.col("rhash").alias("ah"), F.col("component").alias("ac"))
-    every = marked.select("key", F.col("rid").alias("b"), F.col("rhash").alias("bh"), F.col("component").alias("bc"), "main")
-    differ = F.expr("ac <> bc and (bc = main or a < b)")
-    # The one that is met by most comes first, as its text is then dealt out.
-    return _swapped(apart.join(every, "key").filter(differ).select("a", "ah", "b", "bh")).distinct()
+def _members_of_sets(batches, k):
+    for batch in batches:
+        for first, texts in slices(batch, "body"):
+            sets = shingle_sets(Words(texts), k)
+            sizes = np.array([len(s) for s in sets])
+            at = pa.array(np.repeat(np.arange(first, first + len(texts)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in ("rid", "rhash", "component")]
+                + [pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))],
+                names=["rid", "rhash", "component", "size", "h"],
+            )
+
 
+def _by_prefix(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs in different components which can reach the threshold at all.
 
-def _swapped(pairs: DataFrame) -> DataFrame:
-    return pairs.select(
-        F.col("b").alias("a"), F.col("bh").alias("ah"), F.col("a").alias("b"), F.col("ah").alias("bh")
+    With the shingles of each set in order of rarity, two similar sets share one of the
+    first few: |x| - o + 1 of them, where o is the overlap that the threshold asks of
+    both. For the smaller set that is about a seventh. A shingle of one set only is in no
+    pair, so the sets that can't be linked, however many, hardly meet.
+    """
+    body = texts.join(placed, ["rid", "rhash"])
+    rows = body.mapInArrow(
+        lambda x: _members_of_sets(x, k), "rid long, rhash long, component long, size long, h long"
+    )
+    rows = stored(rows, "shingles")
+    common = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    row = ["rid", "rhash", "component", "size"]
+    sets = rows.join(common, "h").groupBy(*row).agg(
+        F.sort_array(F.collect_list(F.struct("n", "h"))).alias("common")
+    )
+    unique = F.col("size") - F.size("common")
+    # Overlaps asked of the set as the smaller of a pair, and as the larger.
+    smaller = F.ceil(2 * percent * F.col("size") / (100 + percent))
+    larger = F.ceil(percent * F.col("size") / 100)
+    found = sets.select(
+        *row,
+        unique.alias("unique"),
+        (F.col("size") - smaller + 1).alias("short"),
+        F.posexplode(F.slice("common", 1, F.greatest(F.lit(0), F.col("size") - larger + 1 - unique).cast("int"))).alias("i", "x"),
+    ).select(*row, "short", F.col("x.h").alias("h"), (F.col("unique") + F.col("i") + 1).alias("place"))
+    found = stored(found, "prefixes")
+    x = found.filter("place <= short").select("h", *[F.col(c).alias(f"x_{c}") for c in (*row, "place")])
+    y = found.select("h", *[F.col(c).alias(f"y_{c}") for c in (*row, "place")])
+    met = F.expr(
+        "x_component <> y_component and (x_size, x_rid, x_rhash) < (y_size, y_rid, y_rhash)"
+        f" and 100 * x_size >= {percent} * y_size"
+        f" and (1 + least(x_size - x_place, y_size - y_place)) * {100 + percent}"
+        f" >= {percent} * (x_size + y_size)"
     )
+    return x.join(y, "h").filter(met).select(
+        F.col("y_rid").alias("a"), F.col("y_rhash").alias("ah"), F.col("x_rid").alias("b"), F.col("x_rhash").alias("bh")
+    ).distinct()
 
 
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
     percent: int = 75,
-    rounds: int = 2,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -272,19 +298,16 @@ def near_duplicates(
     texts = texts.join(scores.select("rid", "rhash"), ["rid", "rhash"], "left_semi")
     texts = stored(texts.dropDuplicates(["rid", "rhash"]), "texts")
 
-    tested, links, labels = [], [], None
-    for step in range(rounds + 1):
-        placed = stored(_placed(members, labels), "placed")
-        if placed.isEmpty():
-            break
-        pairs = _draw(placed, step) if step < rounds else _rest(placed)
-        for earlier in tested:
-            for known in (earlier, _swapped(earlier)):
-                pairs = pairs.join(known, ["a", "ah", "b", "bh"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested.append(pairs)
+    links, labels = [], None
+    if not members.isEmpty():
+        pairs = stored(_with_hub(members), "pairs")
         links.append(stored(verified(pairs, heads, texts, k, percent), "links"))
         labels = components(_edges(links))
+        placed = stored(_placed(members, labels), "placed")
+        if not placed.isEmpty():
+            pairs = stored(_by_prefix(placed, texts, k, percent), "pairs")
+            links.append(stored(verified(pairs, heads, texts, k, percent), "links"))
+            labels = components(_edges(links))
 
     # Rows of equal id are one document, so the classes that they belong to are one component.
     of_class = usable.select("rid", "s1", "s2").join(classes, ["s1", "s2"]).select("rid", "crid").distinct()
