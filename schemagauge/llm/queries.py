@@ -17,6 +17,7 @@ from schemagauge.llm import (
     quality_rules,
     secret_scan,
     token_files,
+    toxicity,
 )
 from schemagauge.llm.storage import shared_folder
 
@@ -108,3 +109,17 @@ def op6_token_files(spark, folder):
     return token_files.read_tokens(spark, written).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op7_toxicity(spark, folder):
+    found = toxicity.scores(
+        _table(spark, folder, "documents").select("doc_id", "text"),
+        _table(spark, folder, "labels").select("doc_id", "toxic"),
+    )
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        (toxicity.fold_of("doc") == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
