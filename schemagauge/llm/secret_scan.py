@@ -55,27 +55,22 @@ def _run(least: int) -> str:
     return f"(?<!{RUN}){RUN}{{{least},}}+"
 
 
-def _matches(text: Column, kind: int, pattern: str, value: int | None = None) -> Column:
-    """An array of (kind, no, gap before, length, length of the value, token) of all matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = found if value is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
-    gaps = F.split(text, pattern, -1)
-
-    def one(i):
-        token = F.get(found, i)
+def _matches(text: Column, kind: int, pattern: str, value: int = 0) -> Column:
+    """An array of (kind, no, gap before, length, value) of all matches and of what is left."""
+    group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    found = F.arrays_zip(F.split(text, pattern, -1), group(0), group(value))
+
+    def one(x, i):
         return F.struct(
             F.lit(kind).alias("kind"),
             i.alias("no"),
-            F.char_length(F.get(gaps, i)).alias("gap"),
-            F.char_length(token).alias("size"),
-            F.get(values, i).alias("token"),
+            F.char_length(x["0"]).alias("gap"),
+            F.char_length(x["1"]).alias("size"),
+            x["2"].alias("token"),
         )
 
-    none = F.array().cast(
-        "array<struct<kind:int,no:int,gap:int,size:int,token:string>>"
-    )
-    all_of = F.transform(F.sequence(F.lit(0), F.size(found) - 1), one)
-    return F.when(F.rlike(text, F.lit(pattern)), all_of).otherwise(none)
+    none = F.array().cast("array<struct<kind:int,no:int,gap:int,size:int,token:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(found, one)).otherwise(none)
 
 
 def matches(docs: DataFrame, id_column: str, text_column: str, least: int) -> DataFrame:
@@ -95,7 +90,7 @@ def matches(docs: DataFrame, id_column: str, text_column: str, least: int) -> Da
                 _matches(body, 3, _run(least)),
             )
         ),
-    )
+    ).filter("size is not null")
     one = (
         found.repartition("rid", "rhash")
         .groupBy("rid", "rhash", "kind", "no")
@@ -113,6 +108,14 @@ def matches(docs: DataFrame, id_column: str, text_column: str, least: int) -> Da
     )
 
 
+def ordinary_samples(docs: DataFrame, text_column: str, least: int) -> DataFrame:
+    """The distinct runs of the corpus that look like names, in column ``token``."""
+    runs = F.regexp_extract_all(text_or_empty(text_column), F.lit(_run(least)), F.lit(0))
+    tokens = docs.select(F.explode(runs).alias("token"))
+    named = F.rlike("token", F.lit(_ORDINARY)) & ~F.rlike("token", F.lit(f"{_HEX}|{_ACCESS}"))
+    return tokens.filter(named).distinct()
+
+
 def random_samples(spark: SparkSession, n: int) -> DataFrame:
     """Digests of the numbers below ``n`` in hex, base64 and two alphabets of base32 size."""
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -184,15 +187,9 @@ def scan(
     ``spans`` is an array of (start, no, kind, end), sorted.
     """
     spark = docs.sparkSession
-    found = stored(matches(docs, id_column, text_column, min_sample), "matches")
+    found = stored(matches(docs, id_column, text_column, min_run), "matches")
     fixed = found.filter("kind < 3").select("token").distinct()
-    runs = found.filter("kind = 3")
-    ordinary = (
-        runs.select("token")
-        .distinct()
-        .filter(F.rlike("token", F.lit(_ORDINARY)) & ~F.rlike("token", F.lit(f"{_HEX}|{_ACCESS}")))
-        .join(fixed, "token", "left_anti")
-    )
+    ordinary = ordinary_samples(docs, text_column, min_sample).join(fixed, "token", "left_anti")
     ratios = train(fixed.union(random_samples(spark, n_random)), ordinary)
 
     # Fixed spans, and runs that no fixed span overlaps: seen from both ends.
@@ -201,8 +198,7 @@ def scan(
     after = where.orderBy(F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     is_fixed = F.col("kind") < 3
     around = (
-        found.filter(is_fixed | (F.char_length("token") >= min_run))
-        .withColumn("left", F.max(F.when(is_fixed, F.col("end"))).over(before))
+        found.withColumn("left", F.max(F.when(is_fixed, F.col("end"))).over(before))
         .withColumn("right", F.min(F.when(is_fixed, F.col("start"))).over(after))
     )
     alone = (F.coalesce("left", F.lit(0)) <= F.col("start")) & (
