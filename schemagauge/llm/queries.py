@@ -16,9 +16,11 @@ from schemagauge.llm import (
     packing,
     quality_rules,
     secret_scan,
+    suffix_dedup,
     token_files,
     toxicity,
 )
+from schemagauge.llm.columns import row_key, same_row, text_or_empty
 from schemagauge.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,22 @@ def op7_toxicity(spark, folder):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op8_suffix_dedup(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    cut = suffix_dedup.cut_repeats(docs).withColumn("sha", F.sha2("kept", 256)).drop("kept")
+    cut = cut.distinct()  # rows that agree in id and text are as many in the table
+    text = text_or_empty()
+    whole = docs.select(
+        *row_key("doc_id", "text"), F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("all")
+    )
+    nothing = F.lit(0).cast("bigint")
+    return whole.join(cut, same_row(whole, cut), "left").select(
+        whole["rid"].alias("doc_id"),
+        F.col("n_bytes").cast("bigint").alias("n_bytes"),
+        F.coalesce("n_removed", nothing).alias("n_removed"),
+        F.coalesce("n_spans", nothing).alias("n_spans"),
+        F.coalesce("sha", "all").alias("kept_sha256"),
+    )

@@ -123,3 +123,21 @@ def verdicts(docs, max_docs=10, max_share=0.25):
         q = quality(text)
         out[d] = removed, not q["base_failed"] and 2 * (q["n_words"] - removed) >= q["n_words"]
     return out
+
+
+def repeats(texts, length=400):
+    """Texts to (n_bytes, n_removed, n_spans, bytes kept)."""
+    where = defaultdict(int)
+    data = [(t or "").encode() for t in texts]
+    for b in data:
+        for i in range(len(b) - length + 1):
+            where[b[i : i + length]] += 1
+    out = []
+    for b in data:
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1):
+            if where[b[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        n_spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(b), sum(gone), n_spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
