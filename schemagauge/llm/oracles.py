@@ -30,6 +30,25 @@ def dedup_sql(source: str, name: str = "dedup") -> str:
         FROM {name}_lines LEFT JOIN {name}_keys USING (k) GROUP BY doc_id)"""
 
 
+_WHITE = "'[\\x20\\x09-\\x0D]+'"
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({text}, ''), {_WHITE}), lambda x: x <> '')"
+
+
+def shingles_sql(table: str, key: str, name: str, k: int = 5) -> str:
+    """CTEs that end in ``name``: the distinct shingles s of each key."""
+    return f"""
+    {name}_words AS (SELECT {key}, {words_sql(fold("text"))} AS w FROM {table}),
+    {name} AS (
+        SELECT DISTINCT {key}, unnest(CASE
+            WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}),
+                                                   lambda i: array_to_string(w[i : i + {k - 1}], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM {name}_words)"""
+
+
 ORACLES = {
     "op2_line_dedup": f"""
     WITH {dedup_sql("documents")}
@@ -59,4 +78,67 @@ ORACLES = {
                       || replace(coalesce(text, ''), '<|', '<\\|') || '<|im_end|>' || chr(10),
                       '' ORDER BY k) AS rendered
     FROM kept JOIN numbered USING (conv_id) GROUP BY ALL""",
+    "op5_decontamination": f"""
+    WITH {shingles_sql("documents", "doc_id", "d")}, {shingles_sql("benchmark", "item_id", "b")},
+    sizes AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+    SELECT doc_id, item_id, n_item, count(*) AS n_common
+    FROM d JOIN b USING (s) JOIN sizes USING (item_id)
+    GROUP BY ALL HAVING 100 * count(*) >= 75 * n_item""",
+    "op9_quality_rules": f"""
+    WITH w AS (
+        SELECT doc_id, source, coalesce(text, '') AS text, {words_sql("text")} AS w FROM documents),
+    windows AS (
+        SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+               unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS s
+        FROM w),
+    twice AS (SELECT doc_id, s FROM windows GROUP BY ALL HAVING count(*) > 1),
+    inside AS (
+        SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+        FROM windows JOIN twice USING (doc_id, s), range(3) AS r(j) GROUP BY doc_id),
+    lines AS (
+        SELECT doc_id, source, line, len({words_sql("line")}) AS n,
+               array_to_string({words_sql(fold("line"))}, ' ') AS k
+        FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM w)),
+    again AS (
+        SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM lines WHERE n > 0 GROUP BY doc_id),
+    hosts AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source),
+    common AS (
+        SELECT source, k, min(doc_id) AS keeper FROM lines JOIN hosts USING (source) WHERE n > 0
+        GROUP BY source, k, pages
+        HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.25 * pages),
+    removed AS (
+        SELECT doc_id, sum(n) AS n_removed FROM lines JOIN common USING (source, k)
+        WHERE doc_id <> keeper GROUP BY doc_id),
+    measured AS (
+        SELECT doc_id, len(w) AS n_words,
+               coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines,
+               coalesce(n_repeat_words, 0) AS n_repeat_words,
+               coalesce(n_removed, 0) AS n_removed
+        FROM w LEFT JOIN inside USING (doc_id) LEFT JOIN again USING (doc_id)
+        LEFT JOIN removed USING (doc_id))
+    SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_removed::BIGINT AS n_removed,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+               AND n_words - n_removed >= 0.5 * n_words AS kept
+    FROM measured""",
+    "op10_near_dedup": f"""
+    WITH RECURSIVE {shingles_sql("documents", "doc_id", "d")},
+    sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    links AS (
+        SELECT x.doc_id AS a, y.doc_id AS b
+        FROM d AS x JOIN d AS y ON x.s = y.s AND x.doc_id <> y.doc_id
+        JOIN sizes AS p ON p.doc_id = x.doc_id JOIN sizes AS q ON q.doc_id = y.doc_id
+        GROUP BY x.doc_id, y.doc_id, p.n, q.n
+        HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+    reach(a, b) AS (
+        SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles,
+           least(coalesce(c, doc_id), doc_id) AS component_id,
+           doc_id <= coalesce(c, doc_id) AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
 }
