@@ -17,7 +17,7 @@ from schemagauge.llm.kernels import FOLD
 MARKS = frozenset(b".,;:!?")
 SPECIAL = b"<|"
 # Words remembered by a process; then it forgets all of them.
-REMEMBERED = 600_000
+REMEMBERED = 1_300_000
 
 _encoders: dict[str, Encoder] = {}
 

@@ -31,7 +31,7 @@ def crc(ids):
 
 def test_ids_are_those_of_the_whole_text(spark, plain, monkeypatch):
     texts = [t or "" for _, t in table(spark)] + [t or "" for t in ODD]
-    for remembered in (600_000, 50):
+    for remembered in (1_300_000, 50):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         own = tokens.Encoder(tokens.default_path())
         for text in texts:
