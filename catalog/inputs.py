@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagauge.session import spread_if_few
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -18,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def rows_of(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table whose rows become JSON one by one."""
-    return spread_if_few(table(spark, folder, name).select(*columns))
+    return table(spark, folder, name).select(*columns)
 
 
 def every(column: str, n: int) -> Column:
@@ -63,11 +61,21 @@ def flat_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+DEEP = 24
+
+
+def deep_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat rows, each inside as many objects as ``DEEP`` says."""
+    around = F.concat(F.lit('{"in":' * DEEP), F.col("value"), F.lit("}" * DEEP))
+    return flat_rows(spark, folder).select("key", around.alias("value"))
+
+
 _FLAT_PROPERTIES = (
     '"properties":{"key":{"type":"integer"},"cust":{"type":"number"},'
     '"status":{"type":"string"},"price":{"type":"number"},"prio":{"type":"string"}}'
 )
 FLAT = '{"type":"object",%s,"required":["key","cust","status","price"]}' % _FLAT_PROPERTIES
+FLAT_DEEP = '{"type":"object","properties":{"in":' * DEEP + FLAT + '},"required":["in"]}' * DEEP
 FLAT_ALL_REQUIRED = (
     '{"type":"object",%s,"required":["key","cust","status","price","prio"]}' % _FLAT_PROPERTIES
 )
@@ -158,28 +166,6 @@ def mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("value"),
     )
 
-    def customer(*balance: Column) -> Column:
-        return F.to_json(
-            F.struct(
-                F.col("c_custkey").alias("cust"),
-                F.when(~every("c_custkey", 12), F.col("c_name")).alias("name"),
-                F.col("c_mktsegment").alias("seg"),
-                *balance,
-            )
-        )
-
-    bare = customer()
-    customers = rows_of(
-        spark, folder, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"
-    ).select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
-        F.when(
-            every("c_custkey", 9),
-            F.concat(F.left(bare, F.length(bare) - 1), F.lit(',"bal":null}')),
-        )
-        .otherwise(customer(F.col("c_acctbal").alias("bal")))
-        .alias("value"),
-    )
     turns = rows_of(spark, folder, "conversations", "conv_id", "turn", "role", "text").select(
         F.concat_ws(
             "-", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")
@@ -193,7 +179,7 @@ def mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("value"),
     )
-    return events.unionByName(customers).unionByName(turns)
+    return events.unionByName(customer_rows(spark, folder)).unionByName(turns)
 
 
 def _event(extra: str = "") -> str:
@@ -227,7 +213,31 @@ CUSTOMER_STRICT = CUSTOMER.replace(
 
 
 def customer_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed_rows(spark, folder).filter(F.startswith("id", F.lit("c")))
+    """The customers of :func:`mixed_rows`."""
+
+    def customer(*balance: Column) -> Column:
+        return F.to_json(
+            F.struct(
+                F.col("c_custkey").alias("cust"),
+                F.when(~every("c_custkey", 12), F.col("c_name")).alias("name"),
+                F.col("c_mktsegment").alias("seg"),
+                *balance,
+            )
+        )
+
+    bare = customer()
+    customers = rows_of(
+        spark, folder, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"
+    ).select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+        F.when(
+            every("c_custkey", 9),
+            F.concat(F.left(bare, F.length(bare) - 1), F.lit(',"bal":null}')),
+        )
+        .otherwise(customer(F.col("c_acctbal").alias("bal")))
+        .alias("value"),
+    )
+    return customers
 
 
 def props_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -181,6 +181,17 @@ SELECT count(*) AS total, CAST(sum(CASE WHEN fails THEN 0 ELSE 1 END) AS BIGINT)
 FROM mixed
 """
 
+ORACLES["summary_wide"] = ORACLES["schema_summary"]
+
+ORACLES["summary_deep"] = """
+WITH v AS (
+  SELECT o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS ok, o_orderkey % 13 = 0 AS note FROM orders)
+SELECT count(*) AS total, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS wrong,
+       CAST(0 AS BIGINT) AS malformed, CAST(count(*) FILTER (ok) AS DOUBLE) / count(*) AS share,
+       CAST(max(CASE WHEN note THEN 1 ELSE 0 END) AS BIGINT) AS required_edits
+FROM v
+"""
+
 ORACLES["schema_summaries"] = """
 WITH v AS (
   SELECT 'closed' AS name, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS ok,

@@ -225,6 +225,16 @@ def schema_summary(spark, folder):
     return summarize(I.mixed_rows(spark, folder), I.MIXED)
 
 
+@query
+def summary_wide(spark, folder):
+    return summarize(I.mixed_rows(spark, folder), I.MIXED_WIDE)
+
+
+@query
+def summary_deep(spark, folder):
+    return summarize(I.deep_rows(spark, folder), I.FLAT_DEEP)
+
+
 @query
 def schema_summaries(spark, folder):
     checks = [

@@ -112,6 +112,15 @@ def nesting_bound(text: Column) -> Column:
     )
 
 
+def n_inner(place: Column) -> Column:
+    """Members or elements of a place; a size of NULL is -1 unless ANSI mode is on."""
+    return (
+        F.when(place["m"].isNotNull(), F.size(place["m"]))
+        .when(place["a"].isNotNull(), F.size(place["a"]))
+        .otherwise(0)
+    )
+
+
 def below(path: Column, key: Column) -> Column:
     return F.concat_ws(".", path, key)
 
@@ -176,7 +185,7 @@ def leaf_paths(start: Column, bound: Column) -> Column:
         bound,
         lambda frontier: F.transform(
             F.filter(
-                frontier, lambda n: F.coalesce(F.size(n["m"]), F.size(n["a"]), F.lit(0)) <= 0
+                frontier, lambda n: n_inner(n) <= 0
             ),
             lambda n: n["path"],
         ),

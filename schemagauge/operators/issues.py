@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from schemagauge.functions import variants as V
 from schemagauge.operators.schema import Schema, to_schema
 from schemagauge.operators.verdict import by_key, members_hold, parsed, verdict
+from schemagauge.operators.walk import is_large, walk
 from schemagauge.session import prepare
 
 
@@ -93,9 +94,10 @@ def charged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfas
     Under a root ``anyOf`` the row is charged to the branch with the fewest paths,
     none counting as one, and to the first of several such branches.
     """
-    unknown = F.array(
-        *[missing(entity, v, F.lit("$"), mode) for entity in to_schema(schema).entities()]
-    )
+    node = to_schema(schema)
+    if is_large(node):
+        return walk(node, v, mode)
+    unknown = F.array(*[missing(entity, v, F.lit("$"), mode) for entity in node.entities()])
     per_entity = F.transform(unknown, lambda start: V.leaf_paths(start, bound))
     return F.array_min(
         F.transform(
@@ -148,10 +150,10 @@ def _rejected(rows: DataFrame, schema: str | Schema, col: str, mode: str) -> Dat
     prepare(rows.sparkSession)
     node = to_schema(schema)
     v = parsed(F.col(col), mode)
-    failing = rows.filter(v.isNotNull() & ~verdict(node, v, mode))
-    return failing.withColumn(
-        "_charge", charged(node, v, V.nesting_bound(F.col(col)), mode)
-    )
+    failing = rows.withColumn("_v", v).filter(F.col("_v").isNotNull())
+    failing = failing.filter(~verdict(node, F.col("_v"), mode))
+    charge = charged(node, F.col("_v"), V.nesting_bound(F.col(col)), mode)
+    return failing.withColumn("_charge", charge).drop("_v")
 
 
 def best_entity(

@@ -8,7 +8,9 @@ becomes part of the plan. Collections of schemas stay distributed, see
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 # The keywords and type words a schema document may use.
 ANNOTATIONS = ("$schema", "$id", "title", "description")
@@ -36,9 +38,6 @@ TYPE_WORDS = {
 }
 BLANKS = " \t\r\n"
 
-# Above this many nodes a schema should be validated as a table, not as an expression.
-COMPILE_LIMIT = 3000
-
 
 class SchemaError(ValueError):
     """The document uses something outside the supported keywords."""
@@ -56,12 +55,27 @@ class Schema:
     max_properties: float | None = None
     additional: bool = False
 
+    def inner(self) -> list[Schema]:
+        """The schemas right below."""
+        below = [s for _, s in self.properties or ()]
+        below += list(self.any_of or ()) + list(self.one_of or ())
+        return below if self.items is None else [*below, self.items]
+
+    def _levels(self) -> Iterator[list[Schema]]:
+        level = [self]
+        while level:
+            yield level
+            level = [s for node in level for s in node.inner()]
+
     def size(self) -> int:
-        inner = [s for _, s in self.properties or ()]
-        inner += list(self.any_of or ()) + list(self.one_of or ())
-        if self.items is not None:
-            inner.append(self.items)
-        return 1 + sum(s.size() for s in inner)
+        return sum(map(len, self._levels()))
+
+    def depth(self) -> int:
+        return sum(1 for _ in self._levels())
+
+    @cached_property
+    def by_name(self) -> dict[str, Schema]:
+        return dict(self.properties or ())
 
     def entities(self) -> tuple[Schema, ...]:
         """Branches of a root ``anyOf``, or the schema itself."""

@@ -1,6 +1,7 @@
 """Does a value satisfy a schema? The schema becomes one boolean Column.
 
-The expression is narrow, holds no Python, and reads each value once: an object
+A schema beyond the limits of :mod:`schemagauge.operators.walk` is walked along instead,
+by the same rules. The expression is narrow, holds no Python, and reads each value once: an object
 node makes a single pass over its members, in which properties with equal
 sub-schemas share a branch. The rules, which differ from standard JSON Schema:
 
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemagauge.functions import variants as V
-from schemagauge.operators.schema import COMPILE_LIMIT, Schema, SchemaError, to_schema
+from schemagauge.operators.schema import Schema, SchemaError, to_schema
+from schemagauge.operators.walk import is_large, walk
 from schemagauge.session import prepare
 
 _SCALAR_TESTS = {
@@ -39,13 +41,10 @@ def verdict(schema: str | Schema, v: Column, mode: str = "failfast") -> Column:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     node = to_schema(schema)
-    if node.size() > COMPILE_LIMIT:
-        raise SchemaError(
-            f"{node.size()} nodes are too many for one expression; "
-            "use schemagauge.operators.relational"
-        )
     if node.any_of == ():
         raise SchemaError("the root anyOf has no branches")
+    if is_large(node):
+        return F.coalesce(walk(node, v, mode)["accepted"], F.lit(False))
     return F.coalesce(holds(node, v, mode), F.lit(False))
 
 

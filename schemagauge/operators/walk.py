@@ -1,0 +1,152 @@
+"""One walk along the schema per row, for schemas of any size and depth.
+
+An expression grows with its schema, and so does the time to plan it. The plan of a walk
+is the same for any schema: one Arrow function that gets the JSON of the value. Both
+follow the same rules; ``is_large`` only decides which is planned.
+"""
+
+from __future__ import annotations
+
+import json
+import sys
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from schemagauge.operators.schema import Schema
+
+# Up to these an expression is planned in a second or two.
+LARGEST_EXPRESSION = 60
+DEEPEST_EXPRESSION = 7
+
+_SORTS = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+_SORTS |= {dict: "object", list: "array"}
+_WALKED = "accepted boolean, n int, entity_idx int, paths array<string>"
+_ARROW = pa.struct(
+    [
+        ("accepted", pa.bool_()),
+        ("n", pa.int32()),
+        ("entity_idx", pa.int32()),
+        ("paths", pa.list_(pa.string())),
+    ]
+)
+
+
+def is_large(node: Schema) -> bool:
+    return node.size() > LARGEST_EXPRESSION or node.depth() > DEEPEST_EXPRESSION
+
+
+class _Row:
+    """A value under judgement; what was found out about a part is remembered."""
+
+    def __init__(self, mode: str):
+        self.failfast = mode == "failfast"
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def _broken(self, message: str) -> bool:
+        if self.failfast:
+            raise ValueError(message)
+        return False
+
+    def holds(self, node: Schema, v) -> bool:
+        key = id(node), id(v)
+        if key not in self.known:
+            self.known[key] = self._holds(node, v)
+        return self.known[key]
+
+    def _holds(self, node: Schema, v) -> bool:
+        branches = node.any_of if node.any_of is not None else node.one_of
+        if branches is not None:
+            for branch in branches:
+                if self.holds(branch, v):
+                    return True
+            return False if branches else self._broken("a oneOf without branches met a value")
+        if node.type is None:
+            return self._broken("a schema node without type, anyOf or oneOf met a value")
+        if _SORTS[type(v)] != node.type:
+            return False
+        if node.type == "array" and v:
+            if node.max_items is not None and len(v) > node.max_items:
+                return False
+            if node.items is not None:
+                for x in v:
+                    if not self.holds(node.items, x):
+                        return False
+        if node.type == "object":
+            if v and node.max_properties is not None and len(v) > node.max_properties:
+                return False
+            if not node.additional and not node.required <= v.keys():
+                return False
+            return self.members_hold(node, v)
+        return True
+
+    def members_hold(self, node: Schema, v: dict) -> bool:
+        if node.properties is None:
+            return not v
+        inner = node.by_name
+        for key, x in v.items():
+            if not (self.holds(inner[key], x) if key in inner else node.additional):
+                return False
+        return True
+
+    def missing(self, node: Schema, v, path: str, found: dict[str, None]) -> None:
+        branches = node.any_of if node.any_of is not None else node.one_of
+        if branches is not None:
+            for branch in branches:
+                self.missing(branch, v, path, found)
+        elif isinstance(v, dict):
+            inner = node.by_name
+            closed = not node.additional and not self.members_hold(node, v)
+            for key, x in v.items():
+                if key in inner:
+                    self.missing(inner[key], x, f"{path}.{key}", found)
+                elif closed:
+                    _leaves(x, f"{path}.{key}", found)
+        elif isinstance(v, list) and node.items is not None:
+            for x in v:
+                self.missing(node.items, x, path + "[*]", found)
+
+
+def _leaves(v, path: str, found: dict[str, None]) -> None:
+    open_parts = [(v, path)]
+    while open_parts:
+        v, path = open_parts.pop()
+        if v and isinstance(v, dict):
+            open_parts += [(x, f"{path}.{key}") for key, x in v.items()]
+        elif v and isinstance(v, list):
+            open_parts += [(x, path + "[*]") for x in v]
+        else:
+            found[path] = None
+
+
+def judge(node: Schema, text: str | None, mode: str) -> dict | None:
+    """What :func:`walk` says of one value."""
+    if text is None:
+        return None
+    v, row = json.loads(text), _Row(mode)
+    if row.holds(node, v):
+        return {"accepted": True, "n": None, "entity_idx": None, "paths": None}
+    best = None
+    for i, entity in enumerate(node.entities()):
+        found: dict[str, None] = {}
+        row.missing(entity, v, "$", found)
+        n = max(len(found), 1)
+        if best is None or n < best["n"]:
+            best = {"accepted": False, "n": n, "entity_idx": i, "paths": list(found)}
+    return best
+
+
+def walk(node: Schema, v: Column, mode: str) -> Column:
+    """``struct<accepted, n, entity_idx, paths>`` of a ``VARIANT``; NULL where that is NULL.
+
+    The last three are NULL where the value is accepted.
+    """
+    frames = 10 * node.depth() + 2000
+
+    @F.arrow_udf(_WALKED)
+    def of_texts(texts: pa.Array) -> pa.Array:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), frames))
+        return pa.array([judge(node, t, mode) for t in texts.to_pylist()], _ARROW)
+
+    return of_texts(F.to_json(v))

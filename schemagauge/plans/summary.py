@@ -11,6 +11,7 @@ from schemagauge.functions import variants as V
 from schemagauge.operators.issues import charged
 from schemagauge.operators.schema import Schema, to_schema
 from schemagauge.operators.verdict import parsed, verdict
+from schemagauge.operators.walk import is_large, walk
 from schemagauge.session import prepare
 
 
@@ -36,8 +37,26 @@ def summarize_many(
     v = F.col("_v")
     bound = V.nesting_bound(F.col(col))
 
-    def outcome(check: Check) -> Column:
+    rows = rows.withColumn("_v", parsed(F.col(col), mode))
+    walked = {}
+    for i, check in enumerate(checks):
+        if is_large(node := to_schema(check.schema)):
+            rows = rows.withColumn(f"_walked{i}", walk(node, F.when(_applies(check), v), mode))
+            walked[i] = F.col(f"_walked{i}")
+
+    def outcome(i: int, check: Check) -> Column:
         node = to_schema(check.schema)
+        if i in walked:
+            status = F.when(v.isNull(), "malformed").when(walked[i]["accepted"], "accepted")
+            status = status.otherwise("rejected")
+            charge = F.struct(*[walked[i][f].alias(f) for f in ("n", "entity_idx", "paths")])
+            return F.array(
+                F.struct(
+                    F.lit(check.name).alias("name"),
+                    F.when(_applies(check), status).alias("status"),
+                    F.when(~walked[i]["accepted"], charge).alias("charge"),
+                )
+            )
         status = F.when(v.isNull(), "malformed").when(verdict(node, v, mode), "accepted")
         status = status.otherwise("rejected")
         # Bound to a name, so that the verdict is worked out once per row and check.
@@ -51,11 +70,10 @@ def summarize_many(
         )
 
     outcomes = F.filter(
-        F.concat(*[outcome(c) for c in checks]), lambda o: o["status"].isNotNull()
+        F.concat(*[outcome(i, c) for i, c in enumerate(checks)]), lambda o: o["status"].isNotNull()
     )
     per_path = (
-        rows.withColumn("_v", parsed(F.col(col), mode))
-        .select(F.inline_outer(outcomes))
+        rows.select(F.inline_outer(outcomes))
         .filter(F.col("name").isNotNull())
         .select(
             "name",

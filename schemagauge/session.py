@@ -26,14 +26,3 @@ def reliable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="schemagauge-"))
     return df.checkpoint(eager=True)
-
-
-def spread_if_few(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores where a scan gives fewer partitions than those.
-
-    Checking a row costs far more than reading it, and small files come as single
-    partitions. On data of any size there are more splits than cores, and then
-    nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

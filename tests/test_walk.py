@@ -1,0 +1,86 @@
+"""Schemas of any size and depth: walks against expressions and the plain models."""
+
+import json
+import random
+import time
+
+import pytest
+
+from schemagauge.operators import walk
+from schemagauge.operators.issues import assess, best_entity, missing_paths
+from schemagauge.operators.relational import validate_by_joins
+from schemagauge.operators.verdict import validate
+from schemagauge.plans.summary import Check, summarize, summarize_many
+from tests import model
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, value string")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walks_agree_with_the_model(spark, seed, monkeypatch):
+    monkeypatch.setattr(walk, "LARGEST_EXPRESSION", 0)
+    rng = random.Random(100 + seed)
+    schema = model.random_root(rng)
+    values = [v for v in (model.random_value(rng, schema) for _ in range(150)) if isinstance(v, dict)]
+    found = {r["i"]: r for r in assess(frame(spark, values), json.dumps(schema)).collect()}
+    for i, v in enumerate(values):
+        ok = model.holds(schema, v)
+        assert found[i]["status"] == ("accepted" if ok else "rejected"), (schema, v)
+        if not ok:
+            assert (found[i]["entity_idx"], set(found[i]["paths"])) == model.charge(schema, v)
+
+
+def nested(depth, leaf):
+    for _ in range(depth):
+        leaf = {"in": leaf}
+    return leaf
+
+
+def test_a_hundred_levels(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "number"}}}
+    for _ in range(100):
+        schema = {"type": "object", "properties": {"in": schema}}
+    values = [nested(100, {"a": 1}), nested(100, {"a": 1, "b": [{}]}), nested(99, {"x": 1})]
+    rows, text = frame(spark, values), json.dumps(schema)
+    assert [r.status for r in validate(rows, text).orderBy("i").collect()] == ["accepted", "rejected", "rejected"]
+    paths = {r.path for r in missing_paths(rows, text).collect()}
+    assert paths == {"$" + ".in" * 100 + ".b[*]", "$" + ".in" * 99 + ".x"}
+    assert summarize(rows, text).first()["required_edits"] == 2
+
+
+def test_thousands_of_nodes_are_planned_at_once(spark):
+    wide = {f"p{i}": {"type": "object", "properties": {"a": {"type": "number"}}} for i in range(2500)}
+    text = json.dumps({"type": "object", "properties": wide})
+    rows = frame(spark, [{"p7": {"a": 1}}, {"p7": {"b": 1}}, {"q": 1}])
+    began = time.time()
+    found = summarize_many(rows, [Check("wide", text), Check("small", '{"type":"object"}')])
+    found.explain()
+    assert time.time() - began < 10
+    totals = {r["name"]: (r["accepted"], r["required_edits"]) for r in found.collect()}
+    assert totals == {"wide": (1, 2), "small": (0, 3)}
+    assert {(r.i, r.entity_idx) for r in best_entity(rows, text).collect()} == {(1, 0), (2, 0)}
+
+
+def test_broken_rows_and_nodes(spark):
+    large = {"type": "object", "properties": {f"p{i}": {} for i in range(100)}}
+    rows = spark.createDataFrame([("{",), ('{"p1":1}',), (None,)], "value string")
+    found = validate(rows, json.dumps(large)).collect()
+    assert [r.status for r in found] == ["malformed", "rejected", "malformed"]
+    with pytest.raises(Exception, match="without type"):
+        validate(rows.filter("value like '%p1%'"), json.dumps(large), mode="failfast").collect()
+
+
+def test_limits_hold_with_and_without_ansi(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "array", "maxItems": 1}}}
+    rows = frame(spark, [{"a": [1, 2]}, {"a": []}, {"b": [1]}])
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            joined = validate_by_joins(rows, json.dumps(schema), ["i"]).orderBy("i").collect()
+            assert [r.status for r in joined] == ["rejected", "accepted", "rejected"]
+            assert {r.path for r in missing_paths(rows, json.dumps(schema)).collect()} == {"$.b[*]"}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
