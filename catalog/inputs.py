@@ -276,8 +276,8 @@ RAW = (
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """``(file, pos, line)``: a log per order with one to three runs. By order and run
-    ``TrainPercent`` is 1.0 without a seed, 0.5, lacking, or 1.0 with a seed."""
+    """``(path, file, pos, line)``: a log per order with one to three runs, in folders
+    where names repeat. By order and run ``TrainPercent`` is 1.0 without a seed, 0.5, lacking, or 1.0 with a seed."""
     key = F.col("o_orderkey")
     rec = F.floor(F.col("pos") / 2).cast("bigint")
     turn = (key + rec) % 4
@@ -299,7 +299,8 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         .select("*", F.explode(F.sequence(F.lit(0), 2 * (key % 3).cast("int") + 1)).alias("p"))
         .withColumn("pos", F.col("p").cast("bigint"))
         .select(
-            F.concat(F.lit("o"), key.cast("string"), F.lit(".log")).alias("file"),
+            F.concat(F.lit("o"), key.cast("string")).alias("path"),
+            F.concat(F.lit("o"), (key % 50).cast("string"), F.lit(".log")).alias("file"),
             "pos",
             F.when(F.col("pos") % 2 == 0, info).otherwise(schema).alias("line"),
         )

@@ -212,7 +212,7 @@ FROM v GROUP BY name
 
 _RUNS = """
 WITH runs AS (
-  SELECT 'o' || o_orderkey || '.log' AS file, rec, o_orderkey AS key, o_custkey AS cust,
+  SELECT 'o' || o_orderkey AS path, 'o' || o_orderkey % 50 || '.log' AS file, rec, o_orderkey AS key, o_custkey AS cust,
          o_orderstatus AS status, (o_orderkey + rec) % 4 AS turn
   FROM orders, (VALUES (CAST(0 AS BIGINT)), (1), (2)) AS r(rec) WHERE rec <= o_orderkey % 3),
 lines AS (
@@ -226,12 +226,12 @@ lines AS (
   FROM runs)
 """
 
-ORACLES["schema_log_pairs"] = f"{_RUNS} SELECT file, rec, info_line, schema_json FROM lines"
+ORACLES["schema_log_pairs"] = f"{_RUNS} SELECT path, file, rec, info_line, schema_json FROM lines"
 
-ORACLES["first_schemas"] = f"{_RUNS} SELECT file, schema_json FROM lines WHERE rec = 0"
+ORACLES["first_schemas"] = f"{_RUNS} SELECT path, file, schema_json FROM lines WHERE rec = 0"
 
 ORACLES["run_filter"] = f"""{_RUNS}
-SELECT file, rec, 'in' || cust AS input_file, CAST(key AS VARCHAR) AS total_time,
+SELECT path, file, rec, 'in' || cust AS input_file, CAST(key AS VARCHAR) AS total_time,
        CAST(1.0 AS DOUBLE) AS train_percent, CAST(cust AS BIGINT) AS validation_size,
        CASE WHEN turn = 3 THEN CAST(rec AS BIGINT) END AS seed
 FROM lines WHERE turn IN (0, 3)

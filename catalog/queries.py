@@ -263,6 +263,7 @@ def run_filter(spark, folder):
     log = logs.decode_info(logs.pair_lines(I.log_lines(spark, folder)))
     runs = logs.typed_runs(logs.full_training_runs(log))
     return runs.select(
+        "path",
         "file",
         "rec",
         "input_file",

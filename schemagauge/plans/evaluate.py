@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemagauge.operators.measures import schema_measures
+from schemagauge.operators.schema import SchemaError, to_schema
 from schemagauge.plans.summary import Check, summarize_many
 from schemagauge.sources import logs
 from schemagauge.sources.documents import schema_nodes
-from schemagauge.sources.results import result_lines
+from schemagauge.sources.results import FIELDS, result_lines
 from schemagauge.sources.rows import PARTS, count_rows, json_rows, split_sizes, with_part
 
 _TOGETHER = 8  # runs over one input that share a scan
+_COUNTED = FIELDS[:4]
 
 
 def evaluate_runs(
@@ -35,9 +37,20 @@ def evaluate_runs(
     plan, as a ``StructType`` would, so runs come to the driver a batch at a time,
     never the rows. Runs over the same input share scans and parsing. Schemas are
     measured as a table, whatever their number.
+
+    No run is left out. One without a schema, or with one that is not supported, is an
+    error in ``failfast``; otherwise its measures and counts are NULL.
     """
+    strict = mode == "failfast"
     documents = runs.select("run_id", "schema_json")
-    measures = schema_measures(schema_nodes(documents, "run_id"), "run_id").select(
+    if strict:
+        lacking = F.raise_error(F.concat(F.lit("no schema in run "), F.col("run_id").cast("string")))
+        documents = documents.withColumn("schema_json", F.coalesce("schema_json", lacking))
+    nodes = schema_nodes(documents, "run_id", strict=strict)
+    if not strict:
+        bad = nodes.filter(~F.col("supported")).select("run_id").distinct()
+        nodes = nodes.join(bad, "run_id", "left_anti")
+    measures = schema_measures(nodes, "run_id").select(
         "run_id",
         F.col("precision").alias("Precision"),
         F.col("grouping").cast("string").alias("Grouping"),
@@ -52,13 +65,13 @@ def evaluate_runs(
         F.when(F.col("seed").isNull(), "None")
         .otherwise(F.concat(F.lit("Some("), F.col("seed").cast("string"), F.lit(")")))
         .alias("Seed"),
-    ).join(measures, "run_id")
+    ).join(measures, "run_id", "left")
     if not validate:
         return described
     validated = list(_validated(runs, open_rows, key, mode, totals or {}))
     if not validated:
-        return described
-    return reduce(DataFrame.unionByName, validated).join(described, "run_id")
+        return described.select("*", *[F.lit(None).cast("string").alias(c) for c in _COUNTED])
+    return described.join(reduce(DataFrame.unionByName, validated), "run_id", "left")
 
 
 def _validated(runs, open_rows, key, mode, totals) -> Iterator[DataFrame]:
@@ -68,10 +81,25 @@ def _validated(runs, open_rows, key, mode, totals) -> Iterator[DataFrame]:
     for input_file, of_input in groupby(ordered.toLocalIterator(), lambda r: r["input_file"]):
         rows = open_rows(input_file)
         total = count_rows(rows, totals.get(input_file))
-        while batch := list(islice(of_input, _TOGETHER)):
+        fit = (r for r in of_input if _is_usable(r, mode))
+        while batch := list(islice(fit, _TOGETHER)):
             yield _validate_batch(rows, total, batch, key, mode)
 
 
+def _is_usable(run, mode: str) -> bool:
+    """Whether the schema of a run can be held against rows; an error in ``failfast``."""
+    try:
+        if run["schema_json"] is None:
+            raise SchemaError("it has none")
+        if to_schema(run["schema_json"]).any_of == ():
+            raise SchemaError("the root anyOf has no branches")
+    except SchemaError as error:
+        if mode == "failfast":
+            raise SchemaError(f"schema of run {run['run_id']}: {error}") from None
+        return False
+    return True
+
+
 def _validate_batch(rows, total, batch, key, mode) -> DataFrame:
     id_type = type(batch[0]["run_id"])
     checks = []
@@ -114,7 +142,7 @@ def evaluate_log(
     """
     log = logs.full_training_runs(logs.schema_log(spark, path))
     runs = logs.typed_runs(log).withColumn(
-        "run_id", F.concat_ws("#", "file", F.format_string("%012d", "rec"))
+        "run_id", F.concat_ws("#", "path", F.format_string("%012d", "rec"))
     )
     opener = open_rows or (lambda file: json_rows(file, spark=spark))
     return result_lines(evaluate_runs(runs, opener, validate, key, mode))

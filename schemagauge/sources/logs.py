@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, pos, line)`` of a file, a folder or a ``*`` pattern.
+    """``(path, file, pos, line)`` of a file, a folder or a ``*`` pattern.
+
+    ``path`` tells files apart, ``file`` is the name alone. Names that begin with ``_``
+    or ``.`` are hidden from Spark.
 
     Files stay splittable. Lines are numbered within the block of the file that was
     read as one, and the blocks before add what they hold; only one number per
@@ -28,18 +31,20 @@ def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .drop("held")
     )
     return lines.join(blocks, ["path", "block"]).select(
-        "file", (F.col("offset") + F.col("n") - F.col("first")).alias("pos"), "line"
+        "path", "file", (F.col("offset") + F.col("n") - F.col("first")).alias("pos"), "line"
     )
 
 
 def pair_lines(lines: DataFrame) -> DataFrame:
-    """``(file, rec, info_line, schema_json)`` from numbered lines.
+    """``(path, file, rec, info_line, schema_json)`` from numbered lines.
+
+    All columns but ``pos`` and ``line`` identify a log, so logs of equal names stay apart.
 
     Line 2k is the info of run k and line 2k+1 its schema, NULL where it is lacking.
     """
     odd = F.pmod(F.col("pos"), F.lit(2)) == 1
     return (
-        lines.groupBy("file", F.floor(F.col("pos") / 2).cast("bigint").alias("rec"))
+        lines.groupBy(*_identity(lines), F.floor(F.col("pos") / 2).cast("bigint").alias("rec"))
         .agg(
             F.max(F.when(~odd, F.col("line"))).alias("info_line"),
             F.max(F.when(odd, F.col("line"))).alias("schema_json"),
@@ -47,6 +52,10 @@ def pair_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _identity(lines: DataFrame) -> list[str]:
+    return [c for c in lines.columns if c not in ("pos", "line")]
+
+
 def decode_info(pairs: DataFrame) -> DataFrame:
     """Add ``info``, the flat info object as a map of strings."""
     return pairs.withColumn("info", F.from_json("info_line", "map<string,string>")).drop(
@@ -59,13 +68,15 @@ def schema_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def first_schemas(lines: DataFrame) -> DataFrame:
-    """``(file, schema_json)``: the second line of every file."""
-    return lines.filter(F.col("pos") == 1).select("file", F.col("line").alias("schema_json"))
+    """``(path, file, schema_json)``: the second line of every file."""
+    second = lines.filter(F.col("pos") == 1)
+    return second.select(*_identity(lines), F.col("line").alias("schema_json"))
 
 
 def whole_file_schemas(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, schema_json)`` of files that hold one schema each."""
+    """``(path, file, schema_json)`` of files that hold one schema each."""
     return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("schema_json")
     )
 

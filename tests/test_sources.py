@@ -97,7 +97,7 @@ def test_log_lines_of_split_files(spark, tmp_path):
         assert found == sorted(expected)
         assert {r["schema_json"] for r in log} == {schema}
         starred = logs.first_schemas(logs.log_lines(spark, str(tmp_path / "*.hier.log")))
-        assert [tuple(r) for r in starred.collect()] == [("b.hier.log", schema)]
+        assert [tuple(r)[1:] for r in starred.collect()] == [("b.hier.log", schema)]
     finally:
         for k, value in before.items():
             spark.conf.set(k, value)
@@ -231,3 +231,28 @@ def test_evaluating_a_log(spark, tmp_path):
     append_results(lines, str(log))
     append_results(lines, str(log))
     assert spark.read.text(str(log) + ".res").count() == 4
+
+
+def test_logs_of_equal_names_and_bad_runs(spark, tmp_path):
+    data = tmp_path / "rows.json"
+    data.write_text("".join(json.dumps({"n": i, "s": "x"}) + "\n" for i in range(100)))
+    common = {"inputFile": str(data), "TotalTime": "1", "ValidationSize": "90", "TrainPercent": "1.0"}
+    texts = {
+        "x": [info(Seed="1", **common), json.dumps(FLAT), info(Seed="2", **common)],
+        "y": [info(Seed="3", **common), '{"$ref":"z"}', info(Seed="4", **common), "{"],
+    }
+    for folder, lines in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.log").write_text("\n".join(lines))
+    pattern = str(tmp_path / "[xy]" / "r.log")
+    pairs = logs.pair_lines(logs.log_lines(spark, pattern)).collect()
+    assert len(pairs) == 4 and len({r["path"] for r in pairs}) == 2
+    assert logs.first_schemas(logs.log_lines(spark, pattern)).count() == 2
+    found = [json.loads(r["value"]) for r in evaluate_log(spark, pattern, mode="permissive").collect()]
+    by_seed = {r["Seed"]: r for r in found}
+    assert sorted(by_seed) == ["Some(1)", "Some(2)", "Some(3)", "Some(4)"]
+    assert by_seed["Some(1)"]["Validation"] == "1.0" and by_seed["Some(1)"]["Precision"] == "4"
+    for seed in ("Some(2)", "Some(3)", "Some(4)"):
+        assert "Validation" not in by_seed[seed] and "Precision" not in by_seed[seed]
+    with pytest.raises(Exception, match="schema"):
+        evaluate_log(spark, str(tmp_path / "x" / "r.log")).collect()
