@@ -165,7 +165,8 @@ def train(docs: DataFrame, ids: np.ndarray, labels: np.ndarray) -> dict[str, np.
     zero = F.lit(0).cast("long")
     own = keys.select("key", "size", "t", "o", zero.alias("s")).filter("t > 0 or o > 0")
     shared = continuations(keys).select("key", "size", zero.alias("t"), zero.alias("o"), F.col("n").alias("s"))
-    slots = own.union(shared).mapInArrow(_slots, "number int, slot long, n long")
+    few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = own.union(shared.coalesce(few)).mapInArrow(_slots, "number int, slot long, n long")
     summed = slots.groupBy("number", "slot").agg(F.sum("n").alias("n")).toArrow()
     number, slot, n = (summed.column(c).to_numpy() for c in ("number", "slot", "n"))
     out = {}
@@ -214,8 +215,8 @@ def differences(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _scored(batches, sent):
-    model, weights = sent.value
+def _scored(batches, sent, weights):
+    model = sent.value
     for batch in batches:
         for first, texts in slices(batch, "body"):
             found = differences(model, texts)
@@ -226,9 +227,9 @@ def _scored(batches, sent):
             )
 
 
-def _score(texts: DataFrame, model, weights) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast((model, weights))
-    return texts.mapInArrow(lambda x: _scored(x, sent), "doc long, whole double, worst double, score double")
+def _score(texts: DataFrame, sent, weights) -> DataFrame:
+    """Differences and scores by the model that was sent to the tasks."""
+    return texts.mapInArrow(lambda x: _scored(x, sent, weights), "doc long, whole double, worst double, score double")
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -267,6 +268,7 @@ def scores(
     order = np.argsort(doc)
     doc, toxic, fit = doc[order], (toxic[order] > 0).astype(np.int64), fit[order].astype(bool)
     model = train(texts, doc[~fit], toxic[~fit])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     weights = None
     if len(set(toxic[fit])) == 2 and len(set(toxic[~fit])) == 2:
         # Rows that fit the logistic function: no more than max_labelled.
@@ -274,8 +276,8 @@ def scores(
             pa.table({"doc": doc[fit], "toxic": toxic[fit]}), "doc long, toxic long"
         )
         seen = texts.join(F.broadcast(mine), "doc")
-        found = _score(seen.select("doc", "body"), model, None).select("doc", "whole", "worst").toArrow()
+        found = _score(seen.select("doc", "body"), sent, None).select("doc", "whole", "worst").toArrow()
         at = np.searchsorted(doc[fit], found.column("doc").to_numpy())
         features = np.column_stack([found.column(c).to_numpy() for c in ("whole", "worst")])
         weights = logistic(features, toxic[fit][at])
-    return _score(texts, model, weights)
+    return _score(texts, sent, weights)
