@@ -52,7 +52,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = np.maximum.accumulate(np.where(bound, at, 0))[:-1]
     size = np.minimum(at[1:] - last, ORDER - 1) + 1
     keys = np.zeros(len(buf), U64)
-    for i in range(ORDER):
+    for i in range(min(ORDER, len(buf))):
         keys[i:] |= buf[: len(buf) - i].astype(U64) << U64(8 * i)
     return keys[1:] & _MASK[size], size, np.cumsum(bound)[:-1] - 1
 
