@@ -399,6 +399,11 @@ def _brand_schemas(kinds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _supplier_file(number: str) -> Column:
+    algorithm = F.get(F.array(*[F.lit(a) for a in _ALGORITHM]), (F.col(number) % 4).cast("int"))
+    return F.concat(F.lit("s"), F.col(number).cast("string"), F.lit("."), algorithm, F.lit(".log"))
+
+
 def supplier_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, schema_json)``: what a supplier sells; for every 5th one under ``anyOf``
     by whether the number of the brand is even."""
@@ -421,13 +426,8 @@ def supplier_schemas(spark: SparkSession, folder: str) -> DataFrame:
             lambda b: b["schema_json"],
         ).alias("documents")
     )
-    algorithm = F.element_at(
-        F.array(*[F.lit(a) for a in _ALGORITHM]), (F.col("l_suppkey") % 4 + 1).cast("int")
-    )
     return branches.select(
-        F.concat(
-            F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("."), algorithm, F.lit(".log")
-        ).alias("file"),
+        _supplier_file("l_suppkey").alias("file"),
         F.when(
             every("l_suppkey", 5),
             F.concat(F.lit('{"anyOf":['), F.array_join("documents", ","), F.lit("]}")),
@@ -438,25 +438,37 @@ def supplier_schemas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nation_schemas(spark: SparkSession, folder: str) -> DataFrame:
-    """``(file, schema_json)``: what the suppliers of a nation sell in lots of over 45."""
+    """``(file, schema_json)``: what the suppliers of a nation sell, brands of odd size
+    with an ``o`` at their end. Every 5th nation has the file name of a supplier; every
+    20th supplier counts as a nation of its own, numbered from 101, with plain brands."""
+    alone = F.col("s_suppkey") % 20 == 1
+    nation = F.when(alone, F.col("s_suppkey") + 100).otherwise(F.col("s_nationkey"))
     sold = (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_quantity") > 45)
         .select("l_partkey", "l_suppkey")
         .join(
-            table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"),
+            table(spark, folder, "part").select(
+                "p_partkey",
+                "p_brand",
+                "p_type",
+                F.when(every("p_size", 2), "").otherwise("o").alias("mark"),
+            ),
             F.col("l_partkey") == F.col("p_partkey"),
         )
         .join(
             table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"),
             F.col("l_suppkey") == F.col("s_suppkey"),
         )
-        .select("s_nationkey", "p_brand", "p_type")
+        .select(
+            nation.alias("s_nationkey"),
+            F.concat("p_brand", F.when(alone, "").otherwise(F.col("mark"))).alias("p_brand"),
+            "p_type",
+        )
         .distinct()
     )
     return _brand_schemas(sold, ["s_nationkey"]).select(
-        F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".groundtruth.log")).alias(
-            "file"
-        ),
+        F.when(every("s_nationkey", 5), _supplier_file("s_nationkey"))
+        .otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".groundtruth.log")))
+        .alias("file"),
         "schema_json",
     )

@@ -320,8 +320,15 @@ SELECT o_orderkey AS schema_id, '$.arr[*]' AS path FROM orders WHERE o_orderkey
 
 # --- distances --------------------------------------------------------------------------
 
+def _supplier_file(number: str) -> str:
+    return (
+        f"'s' || {number} || '.' || CASE {number} % 4 WHEN 0 THEN 'baazizi' WHEN 1 THEN 'bimax'"
+        " WHEN 2 THEN 'kmeans' ELSE 'hier' END || '.log'"
+    )
+
+
 # Path sets of the schemas of suppliers, by entity, and of nations.
-_PATH_SETS = """
+_PATH_SETS = f"""
 WITH sold AS (
   SELECT DISTINCT l_suppkey AS s, p_brand AS brand, p_type AS type,
          CASE WHEN l_suppkey % 5 = 0 THEN CAST(substr(p_brand, 7) AS INTEGER) % 2 ELSE 0 END AS b
@@ -329,16 +336,17 @@ WITH sold AS (
 entities AS (SELECT s, b, row_number() OVER (PARTITION BY s ORDER BY b) - 1 AS e
              FROM (SELECT DISTINCT s, b FROM sold)),
 tests AS (
-  SELECT 's' || s || '.' || CASE s % 4 WHEN 0 THEN 'baazizi' WHEN 1 THEN 'bimax'
-         WHEN 2 THEN 'kmeans' ELSE 'hier' END || '.log' AS test, e, path
+  SELECT {_supplier_file("s")} AS test, e, path
   FROM (SELECT s, b, '$' AS path FROM sold UNION SELECT s, b, '$.' || brand FROM sold
         UNION SELECT s, b, '$.' || brand || '.' || type FROM sold) JOIN entities USING (s, b)),
 lots AS (
-  SELECT DISTINCT s_nationkey AS n, p_brand AS brand, p_type AS type
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity > 45),
+  SELECT DISTINCT CASE WHEN s_suppkey % 20 = 1 THEN s_suppkey + 100 ELSE s_nationkey END AS n,
+         p_type AS type,
+         p_brand || CASE WHEN p_size % 2 = 0 OR s_suppkey % 20 = 1 THEN '' ELSE 'o' END AS brand
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 truths AS (
-  SELECT 'n' || n || '.groundtruth.log' AS truth, path
+  SELECT CASE WHEN n % 5 = 0 THEN {_supplier_file("n")} ELSE 'n' || n || '.groundtruth.log' END AS truth,
+         path
   FROM (SELECT n, '$' AS path FROM lots UNION SELECT n, '$.' || brand FROM lots
         UNION SELECT n, '$.' || brand || '.' || type FROM lots))
 """
@@ -353,7 +361,7 @@ sizes AS (
 distances AS (
   SELECT test, truth, split_part(test, '.', 2) AS algorithm, split_part(truth, '.', 1) AS dataset,
          CAST(min({d}) AS BIGINT) AS d
-  FROM sizes GROUP BY test, truth)
+  FROM sizes WHERE test <> truth GROUP BY test, truth)
 """
 
 _SYMMETRIC = _DISTANCES.replace("{d}", "n_test + n_truth - 2 * n_both")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemagauge.session import reliable
 from schemagauge.sources.logs import algorithm_of, dataset_of
 
 COMPARISONS = ("symmetric", "diff", "sub")
@@ -41,75 +42,58 @@ def schema_paths(nodes: DataFrame, id_col: str = "file", per_entity: bool = True
 
 
 def schema_distances(
-    test: DataFrame, truth: DataFrame, comparison: str = "symmetric", spread: int = 16
+    test: DataFrame, truth: DataFrame, comparison: str = "symmetric", blocks: int | None = None
 ) -> DataFrame:
     """``(test, truth, algorithm, dataset, d)`` for all pairs of differing file names.
 
-    ``test`` and ``truth`` are node tables keyed by ``file``. Shared paths come from
-    an equi-join on the path. Some paths, the root above all, occur in nearly every
-    schema; the test side of the join is dealt over ``spread`` parts so that such a
-    path is not left to one task, and counts are combined before they are shuffled.
-    The result has a row for each pair, shared paths or not, hence the pairs of
-    sizes, which are laid out in the same number of blocks.
+    ``test`` and ``truth`` are node tables keyed by ``file``. A file is one row with the
+    paths of its entities, and a pair is worked out in its row, so no path is a key of
+    anything. The result has a row for each pair; tests and truths meet in as many
+    blocks as there are shuffle partitions, or in ``blocks`` times as many rows of blocks
+    as columns, each of which holds an even share of both.
     """
     if comparison not in COMPARISONS:
         raise ValueError(f"unknown comparison {comparison!r}, expected one of {COMPARISONS}")
-    tests = reliable(
-        schema_paths(test).select(F.col("file").alias("test"), "entity_idx", "path")
-    )
-    truths = reliable(
-        schema_paths(truth, per_entity=False).select(F.col("file").alias("truth"), "path")
+    if blocks is None:
+        partitions = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(1, isqrt(partitions))
+    entities = (
+        schema_paths(test)
+        .groupBy("file", "entity_idx")
+        .agg(F.collect_list("path").alias("paths"))
+        .groupBy(F.col("file").alias("test"))
+        .agg(F.collect_list("paths").alias("entities"))
     )
-    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    shared = (
-        tests.withColumn("part", F.pmod(F.xxhash64("test"), F.lit(spread)).cast("int"))
-        .join(truths.withColumn("part", parts), ["part", "path"])
-        .filter(F.col("test") != F.col("truth"))
-        .groupBy("test", "entity_idx", "truth")
-        .agg(F.count("*").alias("n_both"))
-        .select(
-            "test",
-            "entity_idx",
-            "truth",
-            F.lit(0).cast("bigint").alias("n_test"),
-            F.lit(0).cast("bigint").alias("n_truth"),
-            "n_both",
-        )
+    truths = (
+        schema_paths(truth, per_entity=False)
+        .groupBy(F.col("file").alias("truth"))
+        .agg(F.collect_list("path").alias("paths"))
     )
-    n_test = tests.groupBy("test", "entity_idx").agg(F.count("*").alias("n_test"))
-    n_truth = truths.groupBy("truth").agg(F.count("*").alias("n_truth"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = lambda file: F.pmod(F.xxhash64(file), F.lit(blocks)).cast("int")
     pairs = (
-        n_test.withColumn("part", parts)
-        .join(
-            n_truth.withColumn("part", F.pmod(F.xxhash64("truth"), F.lit(spread)).cast("int")),
-            "part",
-        )
+        entities.withColumn("row", own("test"))
+        .withColumn("column", every)
+        .join(truths.withColumn("column", own("truth")).withColumn("row", every), ["row", "column"])
         .filter(F.col("test") != F.col("truth"))
-        .select(
-            "test",
-            "entity_idx",
-            "truth",
-            "n_test",
-            "n_truth",
-            F.lit(0).cast("bigint").alias("n_both"),
-        )
-    )
-    sizes = shared.unionByName(pairs).groupBy("test", "truth", "entity_idx").agg(
-        F.max("n_test").alias("n_test"),
-        F.max("n_truth").alias("n_truth"),
-        F.max("n_both").alias("n_both"),
     )
-    distance = {
-        "symmetric": F.col("n_test") + F.col("n_truth") - 2 * F.col("n_both"),
-        "diff": F.col("n_test") - F.col("n_both"),
-        "sub": F.when(F.col("n_both") == F.col("n_truth"), 1).otherwise(0).cast("bigint"),
-    }[comparison]
-    return sizes.groupBy("test", "truth").agg(F.min(distance).alias("d")).select(
+    n_truth = F.size("paths").cast("bigint")
+
+    def distance(entity):
+        n_test = F.size(entity).cast("bigint")
+        n_both = F.size(F.array_intersect(entity, F.col("paths"))).cast("bigint")
+        return {
+            "symmetric": n_test + n_truth - 2 * n_both,
+            "diff": n_test - n_both,
+            "sub": F.when(n_both == n_truth, 1).otherwise(0).cast("bigint"),
+        }[comparison]
+
+    return pairs.select(
         "test",
         "truth",
         algorithm_of("test").alias("algorithm"),
         dataset_of("truth").alias("dataset"),
-        "d",
+        F.array_min(F.transform("entities", distance)).alias("d"),
     )
 
 
