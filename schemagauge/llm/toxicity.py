@@ -5,8 +5,10 @@ five before it. The counts of the longest contexts are those of toxic or of ordi
 labelled documents. Both models back off to the same lower orders, the continuation
 counts (how many different bytes come before) of all documents, so an expression that is
 rare in both classes is as likely under either. The difference of the log-likelihoods of
-a text is taken per word, for the whole text and for its worst stretch of 30 words; a
-logistic function of the two, fitted on labelled rows that the models have not seen, is the score.
+a text is taken per word, for the whole text and for its worst stretch of 30 words. Next to
+these averages stands the share of words whose own difference is over 3, which the noise of
+ordinary words can't cancel. A logistic function of the three, fitted on labelled rows that
+the models have not seen, is the score.
 
 Counts are added up by key before they are shuffled. What is sent to the tasks are hashed
 tables of fixed size (2**21 counts, 2**20 contexts), whatever the size of the corpus.
@@ -14,7 +16,7 @@ At most ``max_labelled`` labelled rows are used, drawn by a hash of the id: a bo
 their ids, which are sent to the tasks. Of these a third fits the logistic function.
 
 * Rows whose crc32 of the id, written as text, leaves 2 modulo 4 are held out: their labels are not read.
-* A null or empty text, and any text without words, has both differences 0.
+* A null or empty text, and any text without words, has both differences and the share 0.
 * Rows of equal id are scored one by one. A null id is in no training set.
 * If labelled rows lack a class, every score is 0. An id that is labelled twice is toxic if one label says so.
 * Extra columns, whatever their names, are ignored. An empty table gives an empty table.
@@ -34,8 +36,12 @@ from schemagauge.llm.storage import stored
 ORDER = 6
 DISCOUNT = 0.75
 STRETCH = 30
+#: The difference from which on a word counts as a telling one.
+TELLING = 3.0
 COUNT_BITS, CONTEXT_BITS = 21, 20
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(ORDER + 1)], U64)
+#: What the logistic function is given of a text.
+FEATURES = ("whole", "worst", "telling")
 #: The tables of the model: counts by key, and totals and types by context.
 TABLES = ("t_count", "o_count", "s_count", "t_total", "o_total", "s_total", "t_types", "o_types", "s_types")
 
@@ -200,18 +206,19 @@ def word_ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 
 
 def differences(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
-    """Of each text the difference per word, as a whole and in its worst stretch."""
+    """Of each text the difference per word, as a whole and in its worst stretch; and its share of telling words."""
     words, distinct, number = distinct_words(texts)
-    out = np.zeros((len(texts), 2))
+    out = np.zeros((len(texts), len(FEATURES)))
     if not distinct:
         return out
     each = word_ratios(model, distinct)[number]
     sums = np.concatenate(([0.0], np.cumsum(each)))
+    telling = np.concatenate(([0], np.cumsum(each > TELLING)))
     for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
         if b > a:
             n = min(STRETCH, b - a)
             worst = (sums[a + n : b + 1] - sums[a : b + 1 - n]).max()
-            out[i] = (sums[b] - sums[a]) / (b - a), worst / STRETCH
+            out[i] = (sums[b] - sums[a]) / (b - a), worst / STRETCH, (telling[b] - telling[a]) / (b - a)
     return out
 
 
@@ -220,27 +227,28 @@ def _scored(batches, sent, weights):
     for batch in batches:
         for first, texts in slices(batch, "body"):
             found = differences(model, texts)
-            score = np.zeros(len(texts)) if weights is None else 1 / (1 + np.exp(-(found @ weights[:2] + weights[2])))
+            score = np.zeros(len(texts)) if weights is None else 1 / (1 + np.exp(-(found @ weights[:-1] + weights[-1])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").slice(first, len(texts)), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(score)],
-                names=["doc", "whole", "worst", "score"],
+                [batch.column("doc").slice(first, len(texts)), *[pa.array(x) for x in found.T], pa.array(score)],
+                names=["doc", *FEATURES, "score"],
             )
 
 
 def _score(texts: DataFrame, sent, weights) -> DataFrame:
-    """Differences and scores by the model that was sent to the tasks."""
-    return texts.mapInArrow(lambda x: _scored(x, sent, weights), "doc long, whole double, worst double, score double")
+    """Features and scores by the model that was sent to the tasks."""
+    columns = ", ".join(f"{c} double" for c in (*FEATURES, "score"))
+    return texts.mapInArrow(lambda x: _scored(x, sent, weights), f"doc long, {columns}")
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Two weights and a bias, by Newton's method with a small ridge."""
+    """A weight of each feature and a bias, by Newton's method with a small ridge."""
     scale = features.std(axis=0) + 1e-9
     x = np.column_stack((features / scale, np.ones(len(features))))
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - labels) + 1e-2 * w
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), gradient)
     return w / np.append(scale, 1)
 
 
@@ -252,7 +260,7 @@ def scores(
     text_column: str = "text",
     label_column: str = "toxic",
 ) -> DataFrame:
-    """A row per row of ``docs``: doc, whole, worst and score."""
+    """A row per row of ``docs``: doc, whole, worst, telling and score."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), text_or_empty(text_column).alias("body"))
     marked = (
         labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
@@ -276,8 +284,8 @@ def scores(
             pa.table({"doc": doc[fit], "toxic": toxic[fit]}), "doc long, toxic long"
         )
         seen = texts.join(F.broadcast(mine), "doc")
-        found = _score(seen.select("doc", "body"), sent, None).select("doc", "whole", "worst").toArrow()
+        found = _score(seen.select("doc", "body"), sent, None).select("doc", *FEATURES).toArrow()
         at = np.searchsorted(doc[fit], found.column("doc").to_numpy())
-        features = np.column_stack([found.column(c).to_numpy() for c in ("whole", "worst")])
+        features = np.column_stack([found.column(c).to_numpy() for c in FEATURES])
         weights = logistic(features, toxic[fit][at])
     return _score(texts, sent, weights)

@@ -91,3 +91,12 @@ def test_scores_of_odd_texts_and_of_no_labels(spark):
     found = toxicity.scores(docs, labels).collect()
     assert len(found) == len(ODD) + 2 and {r.score for r in found} == {0.0}
     assert toxicity.scores(docs.limit(0), labels).count() == 0
+
+
+def test_rare_toxic_words_count_beside_many_ordinary_ones(spark):
+    """Held-out texts of every language, by the table's own labels."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_toxicity(spark, SF).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = (np.array([r.score for r in rows if labels[r.doc_id] == y]) for y in (1, 0))
+    area = ((toxic[:, None] > clean).mean() + (toxic[:, None] >= clean).mean()) / 2
+    assert area > 0.95
