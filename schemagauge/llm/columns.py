@@ -20,6 +20,17 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def lines_between(lines: Column, gone: Column) -> Column:
+    """The lines that are left without those at the sorted positions ``gone``."""
+
+    def between(i):
+        start = F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+        end = F.when(i == F.size(gone), F.size(lines)).otherwise(F.get(gone, i))
+        return F.slice(lines, start + 1, end - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), between))
+
+
 def fold(text: Column) -> Column:
     """A-Z to lower case; no other letter changes."""
     return F.translate(text, UPPER, LOWER)

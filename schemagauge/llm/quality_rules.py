@@ -6,7 +6,8 @@ A line of more than ``max_docs`` documents of a host and more than ``max_share``
 is removed from all but the document with the smallest id, so content that was only
 copied keeps one whole copy. A document that loses more than half of its words that way
 is rejected, and so is one that breaks a base rule: fewer than 50 words, or more than
-half of the words in three-word windows that occur twice or more.
+half of the words in three-word windows that occur twice or more. The positions of removed
+lines are given with the verdict, and ``text_left`` is the text without them.
 
 Counts are summed before each shuffle; only lines that reach the limit are looked up again.
 
@@ -19,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemagauge.llm.columns import row_key, text_or_empty
+from schemagauge.llm.columns import lines_between, lines_of, row_key, text_or_empty
 from schemagauge.llm.kernels import GOLDEN, U64, Words, mix, slices, span_hashes, windows
 from schemagauge.llm.storage import stored
 
@@ -35,7 +36,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 _MEASURED = (
     "rid long, rhash long, host string, "
     + ", ".join(f"{m} long" for m in MEASURES)
-    + ", lines array<struct<line:long,n:long>>"
+    + ", lines array<struct<line:long,n:long,at:array<int>>>"
 )
 
 
@@ -63,8 +64,11 @@ def _repeated(words: Words, owner: np.ndarray, n_texts: int) -> np.ndarray:
     return np.bincount(owner[covered], minlength=n_texts)
 
 
-def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Measures by name; and the distinct normalised lines: their text, hash and number of words."""
+def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Measures by name; and the distinct normalised lines: their text, hash and number of words.
+
+    The last is where they are: bounds of each line among positions, numbers of lines of the text.
+    """
     plain, words = Words(texts, fold=False), Words(texts)
     n, raw = len(texts), words.raw
     owner = np.repeat(np.arange(n), np.diff(words.bounds))
@@ -80,29 +84,33 @@ def measure(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     line_starts = np.concatenate(([0], line_ends[:-1] + 1))
     first, last = np.searchsorted(words.starts, line_starts), np.searchsorted(words.starts, line_ends)
     full = last > first
-    line_starts, line_ends, first, last = (x[full] for x in (line_starts, line_ends, first, last))
     of_line = words.owners(line_starts)
+    place = np.arange(len(line_starts)) - np.searchsorted(line_starts, words.offsets[:-1])[of_line]
+    line_starts, line_ends, first, last, of_line, place = (
+        x[full] for x in (line_starts, line_ends, first, last, of_line, place)
+    )
     exact = _own(span_hashes(raw, line_starts, line_ends), of_line)
     _, chosen = np.unique(exact, return_index=True)
     out["n_dup_lines"] = np.bincount(of_line, minlength=n) - np.bincount(of_line[chosen], minlength=n)
     keys = span_hashes(words.hashes, first, last)
     order = np.lexsort((keys, of_line))
-    keys, of_line, sizes = keys[order], of_line[order], (last - first)[order]
+    keys, of_line, sizes, place = keys[order], of_line[order], (last - first)[order], place[order]
     if len(keys):
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (of_line[1:] != of_line[:-1])))
         at = np.flatnonzero(fresh)
-        return out, of_line[at], keys[at], np.add.reduceat(sizes, at)
-    return out, of_line, keys, sizes
+        return out, of_line[at], keys[at], np.add.reduceat(sizes, at), [np.append(at, len(keys)), place]
+    return out, of_line, keys, sizes, [np.zeros(1, np.int64), place]
 
 
 def _measured(batches):
     for batch in batches:
         for start, texts in slices(batch, "body"):
-            found, of_line, keys, sizes = measure(texts)
+            found, of_line, keys, sizes, places = measure(texts)
             rows = batch.slice(start, len(texts))
             offsets = np.searchsorted(of_line, np.arange(len(texts) + 1)).astype(np.int32)
+            at = pa.ListArray.from_arrays(*[pa.array(x.astype(np.int32)) for x in places])
             lines = pa.StructArray.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int64))], names=["line", "n"]
+                [pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int64)), at], names=["line", "n", "at"]
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,7 +142,10 @@ def verdicts(
     text_column: str = "text",
     host_column: str = "source",
 ) -> DataFrame:
-    """A row per row of ``docs``: rid, rhash, host, the measures, n_removed, base_failed, kept."""
+    """A row per row of ``docs``: rid, rhash, host, the measures, n_removed, base_failed, kept, gone.
+
+    ``gone`` are the sorted positions of removed lines, or null.
+    """
     found = stored(measured(docs, id_column, text_column, host_column), "measured")
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))  # a null host is one, too
     rows = found.withColumn("host_key", F.xxhash64(host))
@@ -154,15 +165,17 @@ def verdicts(
     )
     removed = hits.join(limits, key).filter(~F.col("rid").eqNullSafe(F.col("keeper")))
     # Rows that agree are one row here, so that their lines count once.
-    removed = removed.groupBy("rid", "rhash", *key).agg(F.first("n").alias("n"))
-    removed = removed.groupBy("rid", "rhash", "host_key").agg(F.sum("n").alias("n_removed"))
+    removed = removed.groupBy("rid", "rhash", *key).agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    removed = removed.groupBy("rid", "rhash", "host_key").agg(
+        F.sum("n").alias("n_removed"), F.sort_array(F.flatten(F.collect_list("at"))).alias("gone")
+    )
     same = (
         F.col("rid").eqNullSafe(F.col("xid"))
         & (F.col("rhash") == F.col("xhash"))
         & (F.col("host_key") == F.col("xkey"))
     )
     removed = removed.select(
-        F.col("rid").alias("xid"), F.col("rhash").alias("xhash"), F.col("host_key").alias("xkey"), "n_removed"
+        F.col("rid").alias("xid"), F.col("rhash").alias("xhash"), F.col("host_key").alias("xkey"), "n_removed", "gone"
     )
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
@@ -176,4 +189,11 @@ def verdicts(
         n_removed.alias("n_removed"),
         failed.alias("base_failed"),
         (~failed & (F.col("n_words") - n_removed >= least_left * F.col("n_words"))).alias("kept"),
+        "gone",
     )
+
+
+def text_left(text: Column, gone: Column) -> Column:
+    """A text without the lines at the sorted positions ``gone``; null takes none."""
+    lines = lines_of(text)
+    return F.when(gone.isNull(), text).otherwise(F.array_join(lines_between(lines, gone), "\n"))

@@ -1,8 +1,8 @@
 """The operators as stages of a pipeline: documents in, documents out.
 
 A stage keeps the columns of the documents and decides on all rows that it is given. It
-finds its own columns again by the id and a hash of the text, so rows that agree in both
-share their fate.
+finds its own columns again by the id and a hash of the text (the quality rules by the
+host, too), so rows that agree in these share their fate.
 """
 
 from __future__ import annotations
@@ -23,8 +23,18 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    found = quality_rules.verdicts(docs)
-    return _only(docs, found.filter("kept").select("rid", "rhash"))
+    """Documents that are kept, without the lines that their host repeats."""
+    found = quality_rules.verdicts(docs).filter("kept")
+    # Rows that agree in id, text and host are one row here, so that none comes back twice.
+    found = found.groupBy("rid", "rhash", F.col("host").alias("of_host")).agg(F.first("gone").alias("gone"))
+    found = found.select(F.struct("*").alias("found"))
+    mine = (
+        docs["doc_id"].eqNullSafe(F.col("found.rid"))
+        & (F.xxhash64(text_or_empty("text")) == F.col("found.rhash"))
+        & docs["source"].cast("string").eqNullSafe(F.col("found.of_host"))
+    )
+    left = quality_rules.text_left(docs["text"].cast("string"), F.col("found.gone"))
+    return docs.join(found, mine).select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
 def lines(docs: DataFrame) -> DataFrame:

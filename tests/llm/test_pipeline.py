@@ -49,3 +49,21 @@ def test_stages_keep_columns_and_odd_rows(spark):
     for stage in (stages.quality, stages.lines, stages.near, stages.packed):
         assert stage(docs.limit(0)).count() == 0
     assert stages.benchmark(docs.limit(0), items).count() == 0
+
+
+def test_quality_takes_the_lines_of_a_host_out_of_the_texts(spark):
+    line = "Home  About\tContact us"
+    body = lambda i: [" ".join(f"w{i}_{j}_{k}" for k in range(30)) for j in range(3)]
+    texts = {}
+    for i in range(30):
+        a, b, c = body(i)
+        texts[i] = [line, a, "", b, line.upper(), c, line][: 7 - i % 2]
+    rows = [(i, "\n".join(t), "h", i) for i, t in texts.items()]
+    rows += [(100, "\n".join(texts[5]), "other", 1), (7, "\n".join(texts[7]), "other", 1), (7, "\n".join(texts[7]), "h", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int").repartition(3)
+    found = sorted((r.doc_id, r.source, r.text) for r in stages.quality(docs).collect())
+    fold = lambda x: x.lower().split()
+    left = {i: "\n".join(x for x in t if i == 0 or fold(x) != fold(line)) for i, t in texts.items()}
+    expected = [(i, h, left[i] if h == "h" else text) for i, text, h, _ in rows]
+    assert found == sorted(expected)
+    assert stages.quality(docs).columns == docs.columns
