@@ -8,9 +8,13 @@ windows, about one per 185 bytes; runs whose anchor is the only one of its kind
 
 The others are dealt out by anchor, each with the bytes that its windows cover; equal
 stretches travel once per task. Anchors found more than ``HOT`` times are dealt in blocks
-of 46 windows, by the bytes that all windows of the block have in common, so a passage in
-very many documents is many small groups. In each group a suffix array decides, made by
-two-stage sorting: only suffixes smaller than their successors are sorted directly, the
+of 46 windows, by the bytes that all windows of the block have in common. Equal stretches
+of a group are counted before they meet: only distinct ones are gathered, and what is
+decided on them is joined back to the places where they occur, in shares.
+
+A stretch that occurs twice or more repeats as a whole, which its 64-bit digest decides.
+On all that occur once a suffix array decides, made of the distinct stretches of the group
+by two-stage sorting: only suffixes smaller than their successors are sorted directly, the
 rest is induced by one scan of the buckets of first bytes. Windows whose common prefix
 with a neighbour has the whole length repeat.
 
@@ -43,6 +47,8 @@ _SPAN = 1 << 19
 # Bytes of stretches that are sorted at once; a group is never parted.
 BATCH = 2_000_000
 _SORTED = 150_000
+#: Occurrences of one stretch that one task places.
+SHARE = 1000
 
 
 def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,50 +250,63 @@ def _spans(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _decided(groups, length):
-    """Covered stretches of documents for some whole groups: lists of (rid, rhash, first) by content."""
-    sorted_stretches, sorted_windows, places, out = [], [], [], []
+    """Covered parts of the distinct stretches of some whole groups: key, known, start, stop."""
+    stretches, out = [], []
     for group in groups:
-        for stretch, n, rows in group.values():
-            if len(rows) > 1:
-                out += [(rid, rhash, first, first + n - 1 + length) for rid, rhash, first in rows]
-            if len(group) > 1:
-                sorted_stretches.append(stretch)
-                sorted_windows.append(n)
-                places.append(rows)
-    if sorted_stretches:
-        for flags, rows in zip(repeated_windows(sorted_stretches, sorted_windows, length), places):
-            if len(rows) == 1:
-                rid, rhash, first = rows[0]
-                out += [(rid, rhash, first + a, first + b) for a, b in _spans(flags, length)]
+        for key, known, times, stretch in group:
+            if times > 1:
+                out.append((key, known, 0, len(stretch)))
+        if len(group) > 1:
+            stretches += group
+    if stretches:
+        texts = [x[3] for x in stretches]
+        found = repeated_windows(texts, [len(t) - length + 1 for t in texts], length)
+        for flags, (key, known, times, _) in zip(found, stretches):
+            if times == 1:
+                out += [(key, known, a, b) for a, b in _spans(flags, length)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=["rid", "rhash", "start", "stop"]
+        [pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=["key", "known", "start", "stop"]
     )
 
 
 def _covered(batches, length):
-    groups, group, key, size = [], {}, None, 0
+    groups, group, size = [], [], 0
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "known", "rid", "rhash", "first", "n", "stretch")]):
-            if row[0] != key:
-                if group:
-                    groups.append(group)
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "known", "times", "stretch")]):
+            if group and row[0] != group[0][0]:
+                groups.append(group)
+                group = []
                 if size >= BATCH:
                     yield _decided(groups, length)
                     groups, size = [], 0
-                key, group = row[0], {}
-            found = group.get(row[1])
-            if found is None:
-                group[row[1]] = [row[6], row[5], [row[2:5]]]
-            else:
-                found[0] = found[0] or row[6]
-                found[2].append(row[2:5])
-            if found is None:
-                size += row[5] + length
+            group.append(row)
+            size += len(row[3])
     if group:
         groups.append(group)
     yield _decided(groups, length)
 
 
+def _placed(dealt: DataFrame, decided: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The covered parts of stretches at all places where they occur: rid, rhash, start, stop.
+
+    A stretch that occurs more than ``SHARE`` times is dealt to a task for each so many.
+    """
+    key = ["key", "known"]
+    # One row per SHARE occurrences at most, so few that they can be sent to all tasks.
+    often = F.broadcast(
+        distinct.filter(F.col("times") > SHARE).select(*key, F.ceil(F.col("times") / SHARE).alias("salts"))
+    )
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    places = dealt.select("rid", "rhash", *key, "first").join(often, key, "left")
+    places = places.withColumn("salt", F.pmod(F.xxhash64("rid", "rhash", "first"), salts)).drop("salts")
+    parts = decided.join(often, key, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    )
+    return places.join(parts.drop("salts"), [*key, "salt"]).select(
+        "rid", "rhash", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")
+    )
+
+
 def repeated_spans(
     docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -307,10 +326,15 @@ def repeated_spans(
         ),
         "repeats",
     )
-    dealt = hits.mapInArrow(lambda x: _stretches(x, length), _STRETCH)
-    grouped = dealt.repartition("key").sortWithinPartitions("key", "known")
-    spans = grouped.mapInArrow(lambda x: _covered(x, length), "rid long, rhash long, start long, stop long")
-    return hits.select("rid", "rhash", "body"), spans
+    dealt = stored(hits.mapInArrow(lambda x: _stretches(x, length), _STRETCH), "stretches")
+    # Partial counts come first: equal stretches are one row, however often they occur.
+    distinct = stored(
+        dealt.groupBy("key", "known").agg(F.count("*").alias("times"), F.max("stretch").alias("stretch")),
+        "distinct",
+    )
+    grouped = distinct.repartition("key").sortWithinPartitions("key", "known")
+    decided = grouped.mapInArrow(lambda x: _covered(x, length), "key long, known long, start long, stop long")
+    return hits.select("rid", "rhash", "body"), _placed(dealt, decided, distinct)
 
 
 def _cut_out(batches):

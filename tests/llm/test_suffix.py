@@ -74,3 +74,19 @@ def test_query_on_the_table_and_on_none(spark):
     assert suffix_dedup.cut_repeats(none).count() == 0
     twice = spark.createDataFrame([(1, "abc" * 150 + str(2**4000))] * 2 + [(None, "k" * 300)], "doc_id long, text string")
     assert {(r.rid, r.n_removed) for r in suffix_dedup.cut_repeats(twice).collect()} == {(1, 450 + 1205)}
+
+
+def test_equal_stretches_are_gathered_once(spark, monkeypatch):
+    draw = random.Random(3)
+    passage = "".join(draw.choice("abcdef ") for _ in range(900))
+    texts = [f"{i} {passage} {i * 7}" for i in range(60)] + [passage] * 40
+    gathered = []
+    plain = suffix_dedup._placed
+    monkeypatch.setattr(suffix_dedup, "SHARE", 7)
+    monkeypatch.setattr(suffix_dedup, "_placed", lambda dealt, decided, distinct: gathered.append((dealt, distinct)) or plain(dealt, decided, distinct))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.rid: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.cut_repeats(frame).collect()}
+    assert found == {i: r[1:] for i, r in enumerate(brute.repeats(texts))}
+    dealt, distinct = gathered[0]
+    assert distinct.count() == dealt.select("key", "known").distinct().count() < dealt.count() / 2
+    assert distinct.agg({"times": "sum"}).first()[0] == dealt.count()
