@@ -13,7 +13,7 @@ one exact search: sets that are similar enough share one of their rarest shingle
 pairs that do are compared, whatever the size of a bucket, and no link is lost.
 
 Candidates whose signatures agree in fewer than 68 of 128 places go: at the threshold
-that is seven standard deviations below the mean. All others are verified on the full
+that is 5.7 standard deviations below the mean. All others are verified on the full
 sets of shingles of both texts, in whole numbers. The row of a class that many others are
 compared with is dealt out to as many tasks as it takes. Links become components by
 alternating large-star and small-star steps, each written to the shared folder.
@@ -73,7 +73,8 @@ def _sketches(batches, k):
             least = np.array([minima(s, a, b) for s in sets])
             bands = (least.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=U64)
             bands = mix(bands + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
-            signs = (least >> U64(56)).astype(np.uint8)
+            # Mixed first: the leading bits of the minima of large sets are all 0.
+            signs = (mix(least) >> U64(56)).astype(np.uint8)
             full = np.array([len(s) > 0 for s in sets])
             rows = batch.slice(first, len(texts))
             sums = [

@@ -84,3 +84,9 @@ def test_queries_on_the_table(spark):
     rows = documents(spark)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op10_near_dedup(spark, SF).collect()}
     assert found == brute.near([(r.doc_id, r.text) for r in rows])
+
+
+def test_signatures_of_large_unrelated_sets_differ(spark):
+    rows = [(i, " ".join(f"{c}{j}" for j in range(2000))) for i, c in enumerate("ab")]
+    one, two = near_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), 5, "doc_id", "text").collect()
+    assert sum(x == y for x, y in zip(one.sig, two.sig)) < 10
