@@ -141,4 +141,18 @@ ORACLES = {
            least(coalesce(c, doc_id), doc_id) AS component_id,
            doc_id <= coalesce(c, doc_id) AS kept
     FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
+    "op11_warc": """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '')
+                   AS payload_digest,
+               max(page_id) OVER (PARTITION BY h, payload_bytes) AS leader
+        FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> leader THEN leader END AS refers_to
+    FROM d""",
 }

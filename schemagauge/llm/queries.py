@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemagauge.llm import (
+    archives,
     chat,
     decontaminate,
     line_dedup,
@@ -144,3 +145,18 @@ def op8_suffix_dedup(spark, folder):
         F.coalesce("n_spans", nothing).alias("n_spans"),
         F.coalesce("sha", "all").alias("kept_sha256"),
     )
+
+
+@query
+def op11_warc(spark, folder):
+    written = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_arc(_table(spark, folder, "pages"), f"{written}/arc")
+    archives.write_warc(archives.to_warc(spark, f"{written}/arc"), f"{written}/warc")
+    found = archives.resolved(archives.read_warc(spark, f"{written}/warc", payloads=False))
+    return found.select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_key").alias("refers_to"),
+    )
