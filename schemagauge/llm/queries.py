@@ -15,6 +15,7 @@ from schemagauge.llm import (
     line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
     quality_rules,
     secret_scan,
     suffix_dedup,
@@ -160,3 +161,25 @@ def op11_warc(spark, folder):
         F.col("type").alias("record_type"),
         F.col("refers_key").alias("refers_to"),
     )
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(drawn / 10)
+    planted = periodic_runs.repeat_tail(
+        text_or_empty(), lambda n: F.pmod(g, n), lambda n: 1 + F.floor((n - F.pmod(g, n)) / (3 + g % 8))
+    )
+    docs = docs.select("doc_id", F.when(drawn % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+    best = F.col("best")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    found = periodic_runs.collapse_runs(docs).withColumn("best", periodic_runs.most_periodic(F.col("runs")))
+    return found.select(
+        F.col("rid").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
