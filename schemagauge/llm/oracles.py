@@ -155,4 +155,38 @@ ORACLES = {
            CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id <> leader THEN leader END AS refers_to
     FROM d""",
+    "op12_divergence": f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({fold("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+        FROM documents),
+    occurrences AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+    kept AS (
+        SELECT lang, term, count(*) AS lang_n FROM occurrences GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    own AS (
+        SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    given AS (
+        SELECT lang, source, term, lang_n, lang_total, v, coalesce(n, 0) AS n,
+               sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+        FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN own USING (lang, source, term)),
+    shares AS (
+        SELECT lang, source, term, n,
+               (1 + (1000000000::HUGEINT * (n + 1)) // (total + v))::BIGINT AS p,
+               (1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v))::BIGINT AS q
+        FROM given),
+    sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY ALL),
+    parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }

@@ -12,6 +12,7 @@ from schemagauge.llm import (
     archives,
     chat,
     decontaminate,
+    divergence,
     line_dedup,
     near_dedup,
     packing,
@@ -163,6 +164,11 @@ def op11_warc(spark, folder):
     )
 
 
+@query
+def op12_divergence(spark, folder):
+    return divergence.divergence(_table(spark, folder, "documents").select("text", "lang", "source"))
+
+
 @query
 def op13_periodic_runs(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
