@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemagauge.functions import variants as V
+from schemagauge.operators import tabled
 from schemagauge.operators.schema import Schema, to_schema
 from schemagauge.operators.verdict import by_key, members_hold, parsed, verdict
-from schemagauge.operators.walk import is_large, walk
 from schemagauge.session import prepare
 
 
@@ -95,9 +95,15 @@ def charged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfas
     none counting as one, and to the first of several such branches.
     """
     node = to_schema(schema)
-    if is_large(node):
-        return walk(node, v, mode)
-    unknown = F.array(*[missing(entity, v, F.lit("$"), mode) for entity in node.entities()])
+    if tabled.is_large(node):
+        return _fewest(tabled.missing(node, v, mode), bound)
+    return _fewest(
+        F.array(*[missing(entity, v, F.lit("$"), mode) for entity in node.entities()]), bound
+    )
+
+
+def _fewest(unknown: Column, bound: Column) -> Column:
+    """The entity with the fewest paths, from the unknown subtrees of each."""
     per_entity = F.transform(unknown, lambda start: V.leaf_paths(start, bound))
     return F.array_min(
         F.transform(
@@ -111,6 +117,18 @@ def charged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfas
     )
 
 
+def judged(schema: str | Schema, v: Column, bound: Column, mode: str = "failfast") -> Column:
+    """``struct<accepted, charge>`` of a value, the verdict worked out once; NULL where ``v`` is NULL."""
+    node = to_schema(schema)
+    if tabled.is_large(node):
+        return tabled.judged(node, v, mode, lambda unknown: _fewest(unknown, bound))
+    made = F.transform(
+        F.array(verdict(node, v, mode)),
+        lambda ok: V.record(accepted=ok, charge=F.when(~ok, charged(node, v, bound, mode))),
+    )
+    return F.when(v.isNotNull(), F.get(made, F.lit(0)))
+
+
 def assess(
     rows: DataFrame, schema: str | Schema, col: str = "value", mode: str = "permissive"
 ) -> DataFrame:
@@ -118,22 +136,20 @@ def assess(
     prepare(rows.sparkSession)
     node = to_schema(schema)
     v = parsed(F.col(col), mode)
+    # Exploded, so that no later step works the verdict out again.
+    found = F.explode(F.array(judged(node, F.col("_v"), V.nesting_bound(F.col(col)), mode)))
     status = (
         F.when(F.col("_v").isNull(), "malformed")
-        .when(verdict(node, F.col("_v"), mode), "accepted")
+        .when(F.col("_judged.accepted"), "accepted")
         .otherwise("rejected")
     )
-    charge = F.when(
-        F.col("status") == "rejected",
-        charged(node, F.col("_v"), V.nesting_bound(F.col(col)), mode),
-    )
     return (
         rows.withColumn("_v", v)
+        .withColumn("_judged", found)
         .withColumn("status", status)
-        .withColumn("_charge", charge)
-        .withColumn("entity_idx", F.col("_charge.entity_idx"))
-        .withColumn("paths", F.col("_charge.paths"))
-        .drop("_v", "_charge")
+        .withColumn("entity_idx", F.col("_judged.charge.entity_idx"))
+        .withColumn("paths", F.col("_judged.charge.paths"))
+        .drop("_v", "_judged")
     )
 
 
@@ -150,10 +166,11 @@ def _rejected(rows: DataFrame, schema: str | Schema, col: str, mode: str) -> Dat
     prepare(rows.sparkSession)
     node = to_schema(schema)
     v = parsed(F.col(col), mode)
-    failing = rows.withColumn("_v", v).filter(F.col("_v").isNotNull())
-    failing = failing.filter(~verdict(node, F.col("_v"), mode))
-    charge = charged(node, F.col("_v"), V.nesting_bound(F.col(col)), mode)
-    return failing.withColumn("_charge", charge).drop("_v")
+    parsing = rows.withColumn("_v", v).filter(F.col("_v").isNotNull())
+    # Exploded, so that the filter doesn't work the verdict out a second time.
+    found = F.explode(F.array(judged(node, F.col("_v"), V.nesting_bound(F.col(col)), mode)))
+    failing = parsing.withColumn("_judged", found).filter(~F.col("_judged.accepted"))
+    return failing.withColumn("_charge", F.col("_judged.charge")).drop("_v", "_judged")
 
 
 def best_entity(
@@ -171,7 +188,14 @@ def best_entity(
 def missing_paths(
     rows: DataFrame, schema: str | Schema, col: str = "value", mode: str = "permissive"
 ) -> DataFrame:
-    """Distinct ``(entity_idx, path)`` over all rejected rows."""
+    """Distinct ``(entity_idx, path)`` over all rejected rows.
+
+    A schema that is held against rows by a table meets each of their structures once.
+    """
+    if tabled.is_large(to_schema(schema)):
+        prepare(rows.sparkSession)
+        parses = parsed(F.col(col), mode).isNotNull()
+        rows = rows.select(F.when(parses, V.structure(F.col(col))).alias(col)).distinct()
     named = _rejected(rows, schema, col, mode).select(
         F.col("_charge.entity_idx").alias("entity_idx"),
         F.explode_outer("_charge.paths").alias("path"),

@@ -1,6 +1,6 @@
 """Does a value satisfy a schema? The schema becomes one boolean Column.
 
-A schema beyond the limits of :mod:`schemagauge.operators.walk` is walked along instead,
+A schema beyond the limits of :mod:`schemagauge.operators.tabled` becomes a table instead,
 by the same rules. The expression is narrow, holds no Python, and reads each value once: an object
 node makes a single pass over its members, in which properties with equal
 sub-schemas share a branch. The rules, which differ from standard JSON Schema:
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemagauge.functions import variants as V
+from schemagauge.operators import tabled
 from schemagauge.operators.schema import Schema, SchemaError, to_schema
-from schemagauge.operators.walk import is_large, walk
 from schemagauge.session import prepare
 
 _SCALAR_TESTS = {
@@ -43,9 +43,8 @@ def verdict(schema: str | Schema, v: Column, mode: str = "failfast") -> Column:
     node = to_schema(schema)
     if node.any_of == ():
         raise SchemaError("the root anyOf has no branches")
-    if is_large(node):
-        return F.coalesce(walk(node, v, mode)["accepted"], F.lit(False))
-    return F.coalesce(holds(node, v, mode), F.lit(False))
+    large = tabled.is_large(node)
+    return F.coalesce((tabled.holds if large else holds)(node, v, mode), F.lit(False))
 
 
 def holds(node: Schema, v: Column, mode: str) -> Column:

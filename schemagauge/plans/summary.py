@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemagauge.functions import variants as V
-from schemagauge.operators.issues import charged
+from schemagauge.operators import tabled
+from schemagauge.operators.issues import judged
 from schemagauge.operators.schema import Schema, to_schema
-from schemagauge.operators.verdict import parsed, verdict
-from schemagauge.operators.walk import is_large, walk
+from schemagauge.operators.verdict import parsed
 from schemagauge.session import prepare
 
 
@@ -32,50 +32,49 @@ def summarize_many(
     Every text is parsed once for all checks. What is shuffled is one count per
     check, entity and missing path and task, so accepted rows and rows repeating a
     path add nothing to it. Checks without any row are left out.
+
+    Where a schema is so large that it is held against rows by a table, rows are counted by
+    structure first, and each structure is judged once.
     """
     prepare(rows.sparkSession)
     v = F.col("_v")
+    if any(tabled.is_large(to_schema(c.schema)) for c in checks):
+        flags = [f"_applies{i}" for i in range(len(checks))]
+        shapes = rows.select(
+            F.when(parsed(F.col(col), mode).isNotNull(), V.structure(F.col(col))).alias("_shape"),
+            *[_applies(c).alias(flag) for c, flag in zip(checks, flags)],
+        )
+        rows = shapes.groupBy("_shape", *flags).agg(F.count("*").alias("_times"))
+        checks = [Check(c.name, c.schema, F.col(flag)) for c, flag in zip(checks, flags)]
+        col = "_shape"
+    else:
+        rows = rows.withColumn("_times", F.lit(1))
     bound = V.nesting_bound(F.col(col))
-
     rows = rows.withColumn("_v", parsed(F.col(col), mode))
-    walked = {}
-    for i, check in enumerate(checks):
-        if is_large(node := to_schema(check.schema)):
-            rows = rows.withColumn(f"_walked{i}", walk(node, F.when(_applies(check), v), mode))
-            walked[i] = F.col(f"_walked{i}")
-
-    def outcome(i: int, check: Check) -> Column:
-        node = to_schema(check.schema)
-        if i in walked:
-            status = F.when(v.isNull(), "malformed").when(walked[i]["accepted"], "accepted")
-            status = status.otherwise("rejected")
-            charge = F.struct(*[walked[i][f].alias(f) for f in ("n", "entity_idx", "paths")])
-            return F.array(
-                F.struct(
-                    F.lit(check.name).alias("name"),
-                    F.when(_applies(check), status).alias("status"),
-                    F.when(~walked[i]["accepted"], charge).alias("charge"),
-                )
-            )
-        status = F.when(v.isNull(), "malformed").when(verdict(node, v, mode), "accepted")
-        status = status.otherwise("rejected")
+
+    def outcome(check: Check) -> Column:
         # Bound to a name, so that the verdict is worked out once per row and check.
+        found = F.array(F.when(_applies(check), judged(check.schema, v, bound, mode)))
+        status = lambda j: (
+            F.when(v.isNull(), "malformed").when(j["accepted"], "accepted").otherwise("rejected")
+        )
         return F.transform(
-            F.array(F.when(_applies(check), status)),
-            lambda s: F.struct(
+            found,
+            lambda j: F.struct(
                 F.lit(check.name).alias("name"),
-                s.alias("status"),
-                F.when(s == "rejected", charged(node, v, bound, mode)).alias("charge"),
+                F.when(_applies(check), status(j)).alias("status"),
+                j["charge"].alias("charge"),
             ),
         )
 
     outcomes = F.filter(
-        F.concat(*[outcome(i, c) for i, c in enumerate(checks)]), lambda o: o["status"].isNotNull()
+        F.concat(*[outcome(c) for c in checks]), lambda o: o["status"].isNotNull()
     )
     per_path = (
-        rows.select(F.inline_outer(outcomes))
+        rows.select("_times", F.inline_outer(outcomes))
         .filter(F.col("name").isNotNull())
         .select(
+            "_times",
             "name",
             "status",
             F.col("charge.entity_idx").alias("entity_idx"),
@@ -114,7 +113,8 @@ def _applies(check: Check) -> Column:
 
 def _rows(condition: Column) -> Column:
     """Rows, not their paths: only the first path of a row counts."""
-    return F.count_if((F.coalesce(F.col("pos"), F.lit(0)) == 0) & condition)
+    first = (F.coalesce(F.col("pos"), F.lit(0)) == 0) & condition
+    return F.sum(F.when(first, F.col("_times")).otherwise(0))
 
 
 def summarize(

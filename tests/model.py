@@ -183,3 +183,60 @@ def random_value(rng, s, depth=4):
         inner = s.get("items", {"type": "number"})
         return [random_value(rng, inner, depth - 1) for _ in range(rng.randint(0, 3))]
     return {"string": "s]}\\\"[", "number": 3, "boolean": False, "null": None}[sort]
+
+
+# --- schemas with mistakes --------------------------------------------------------------
+
+
+def code(s, v, failfast=True):
+    """1 holds, 0 fails; 2 and 4 where an error decides: a node without a type, an empty oneOf."""
+    if "anyOf" in s or "oneOf" in s:
+        found = [c for c in (code(b, v, failfast) for b in options(s)) if c]
+        return found[0] if found else 4 * (options(s) == [] and "anyOf" not in s and failfast)
+    if "type" not in s:
+        return 2 * failfast
+    if SORTS[type(v)] != s["type"]:
+        return 0
+    if isinstance(v, list) and v:
+        if len(v) > s.get("maxItems", len(v)):
+            return 0
+        found = [c for c in (code(s["items"], x, failfast) for x in v if "items" in s) if c != 1]
+        return found[0] if found else 1
+    if isinstance(v, dict):
+        if not s.get("additionalProperties", False) and not all(k in v for k in s.get("required", ())):
+            return 0
+        if "properties" not in s:
+            return int(not v)
+        known, is_open = s["properties"], int(s.get("additionalProperties", False))
+        found = [code(known[k], v[k], failfast) if k in known else is_open for k in sorted(v)]
+        return next((c for c in found if c != 1), 1)
+    return 1
+
+
+def random_mistaken(rng, depth=3):
+    roll = rng.random()
+    if roll < 0.1:
+        return rng.choice([{}, {"anyOf": []}, {"oneOf": []}, {"properties": {"a": {"type": "null"}}}, {"type": "object"}])
+    s = random_schema(rng, depth)
+    if "properties" in s:
+        s["properties"] = {k: random_mistaken(rng, depth - 1) for k in rng.sample(KEYS, rng.randint(0, 3))}
+    for word in ("anyOf", "oneOf"):
+        if word in s:
+            s[word] = [random_mistaken(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    if "items" in s:
+        s["items"] = random_mistaken(rng, depth - 1)
+    return s
+
+
+def random_instance(rng, s, depth=4):
+    """As :func:`random_value`, for schemas with mistakes."""
+    if "type" not in s and not options(s) or depth == 0:
+        return rng.choice(["x", 1, None, {}, [], {"a": 1}, {"z": None}])
+    if options(s):
+        return random_instance(rng, rng.choice(options(s)), depth - 1)
+    if s["type"] == "object":
+        v = {k: random_instance(rng, b, depth - 1) for k, b in s.get("properties", {}).items() if rng.random() < 0.85}
+        return v | ({"e": [{}]} if rng.random() < 0.1 else {})
+    if s["type"] == "array":
+        return [random_instance(rng, s.get("items", {}), depth - 1) for _ in range(rng.randint(0, 3))]
+    return random_value(rng, s, depth)
