@@ -116,26 +116,18 @@ def structure(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("false")), masked(text, "(?:true|false)", "true")).otherwise(text)
 
 
-def nesting_bound(text: Column) -> Column:
-    """Number of levels of the JSON in ``text``: a walk over it takes as many steps.
+#: No parser of JSON texts goes deeper.
+_DEEPEST = 1000
 
-    Brackets within strings do not count. Every step of a walk copies what was found
-    so far, so the number should not be larger than need be.
-    """
-    unescaped = F.replace(
-        F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")
-    )
-    outside = F.filter(F.split(unescaped, '"'), lambda _, i: i % 2 == 0)
-    brackets = F.regexp_replace(F.array_join(outside, ""), r"[^\[\]{}]+", "")
-    start = record(now=F.lit(0), most=F.lit(0))
 
-    def step(state: Column, bracket: Column) -> Column:
-        now = state["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
-        return record(now=now, most=F.greatest(state["most"], now))
+def nesting_bound(text: Column) -> Column:
+    """No fewer steps than a walk over the JSON in ``text`` needs, found without looking into it.
 
-    return F.aggregate(
-        F.filter(F.split(brackets, ""), lambda b: b != ""), start, step, lambda s: s["most"] + 1
-    )
+    There is an opening bracket for each level. A walk ends by itself once nothing is left to be
+    opened, so steps to spare cost next to nothing.
+    """
+    closed = F.replace(F.replace(text, F.lit("{"), F.lit("")), F.lit("["), F.lit(""))
+    return F.least(F.octet_length(text) - F.octet_length(closed), F.lit(_DEEPEST)) + 1
 
 
 def n_inner(place: Column) -> Column:
@@ -169,23 +161,28 @@ def _inner(node: Column) -> Column:
     )
 
 
+def _is_open(place: Column) -> Column:
+    return place["m"].isNotNull() | place["a"].isNotNull()
+
+
 def _walk(start: Column, bound: Column, visit: Callable[[Column], Column], out: str) -> Column:
     """Breadth-first walk from ``start``; ``visit(frontier)`` gives what to keep.
 
     Once the frontier is empty the remaining steps hand the state on untouched.
     """
-    first = F.struct(start.alias("frontier"), empty(out).alias("done"))
+    first = F.struct(start.alias("frontier"), empty(f"array<{out}>").alias("done"))
 
     def step(state: Column, _: Column) -> Column:
         frontier = state["frontier"]
+        # What each level gave is kept as it is and joined once, at the end.
         return F.when(F.size(frontier) == 0, state).otherwise(
             F.struct(
-                F.flatten(F.transform(frontier, _inner)).alias("frontier"),
-                F.concat(state["done"], visit(frontier)).alias("done"),
+                F.flatten(F.transform(F.filter(frontier, _is_open), _inner)).alias("frontier"),
+                F.array_append(state["done"], visit(frontier)).alias("done"),
             )
         )
 
-    return F.aggregate(F.sequence(F.lit(1), bound), first, step, lambda s: s["done"])
+    return F.aggregate(F.sequence(F.lit(1), bound), first, step, lambda s: F.flatten(s["done"]))
 
 
 def all_paths(v: Column, bound: Column, mark_empty: bool = True) -> Column:

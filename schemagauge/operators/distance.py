@@ -7,6 +7,7 @@ from math import isqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemagauge.session import reliable
 from schemagauge.sources.logs import algorithm_of, dataset_of
 
 COMPARISONS = ("symmetric", "diff", "sub")
@@ -41,59 +42,74 @@ def schema_paths(nodes: DataFrame, id_col: str = "file", per_entity: bool = True
     ).distinct()
 
 
+def _numbers(paths: DataFrame) -> DataFrame:
+    """``path`` replaced by ``id``, 64 bits that differ between all paths there are."""
+    distinct = paths.select("path").distinct()
+    for seed in range(100):
+        ids = F.xxhash64(F.lit(seed), F.col("path"))
+        if distinct.groupBy(ids).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return paths.withColumn("id", ids).drop("path")
+    raise RuntimeError("no seed tells all paths apart")
+
+
+def _classes(files: DataFrame, value: str, blocks_of: int) -> tuple[DataFrame, DataFrame]:
+    """Files by equal ``value``: a row per class with its number ``no`` and weight, and (file, no)."""
+    classes = reliable(files.groupBy(value).agg(F.collect_list("file").alias("files")))
+    classes = classes.withColumn("no", F.xxhash64(value, F.array_min("files")))
+    classes = reliable(classes.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(blocks_of))))
+    return classes.drop("files"), classes.select("no", F.explode("files").alias("file"))
+
+
+#: Bytes of ids that meet in one task, and pairs that it works out.
+_BLOCK_BYTES, _BLOCK_PAIRS = 32 << 20, 1_000_000
+
+
 def schema_distances(
     test: DataFrame, truth: DataFrame, comparison: str = "symmetric", blocks: int | None = None
 ) -> DataFrame:
     """``(test, truth, algorithm, dataset, d)`` for all pairs of differing file names.
 
-    ``test`` and ``truth`` are node tables keyed by ``file``. A file is one row with the
-    paths of its entities, and a pair is worked out in its row, so no path is a key of
-    anything. The result has a row for each pair; tests and truths meet in as many
-    blocks as there are shuffle partitions, or in ``blocks`` times as many rows of blocks
-    as columns, each of which holds an even share of both.
+    ``test`` and ``truth`` are node tables keyed by ``file``. A path is a number of 64 bits, checked to be
+    its own, so what meets are sorted arrays of numbers: a row for all files with the same entities.
+    Such rows meet in blocks, a pair of them once, worked out in its row; no path is a key of
+    anything. Blocks are as many as the measured sizes ask for, or ``blocks`` each way.
+    The result has a row for each pair of files.
     """
     if comparison not in COMPARISONS:
         raise ValueError(f"unknown comparison {comparison!r}, expected one of {COMPARISONS}")
+    both = schema_paths(test).withColumn("is_test", F.lit(True))
+    both = both.unionByName(schema_paths(truth, per_entity=False).withColumn("is_test", F.lit(False)))
+    both = reliable(_numbers(both).groupBy("is_test", "file", "entity_idx").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    tests = both.filter("is_test").groupBy("file").agg(F.array_sort(F.collect_set("ids")).alias("entities"))
+    truths = both.filter("not is_test").select("file", "ids")
     if blocks is None:
-        partitions = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = max(1, isqrt(partitions))
-    entities = (
-        schema_paths(test)
-        .groupBy("file", "entity_idx")
-        .agg(F.collect_list("path").alias("paths"))
-        .groupBy(F.col("file").alias("test"))
-        .agg(F.collect_list("paths").alias("entities"))
-    )
-    truths = (
-        schema_paths(truth, per_entity=False)
-        .groupBy(F.col("file").alias("truth"))
-        .agg(F.collect_list("path").alias("paths"))
-    )
+        sizes = both.groupBy("is_test").agg(F.sum(8 * F.size("ids")).alias("bytes"), F.countDistinct("file").alias("files"))
+        found = {r["is_test"]: (r["bytes"], r["files"]) for r in sizes.collect()}
+        (a, m), (b, n) = found.get(True, (0, 0)), found.get(False, (0, 0))
+        blocks = max(1, -(-max(a, b) // _BLOCK_BYTES), isqrt(m * n // _BLOCK_PAIRS) + 1)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = lambda file: F.pmod(F.xxhash64(file), F.lit(blocks)).cast("int")
-    pairs = (
-        entities.withColumn("row", own("test"))
-        .withColumn("column", every)
-        .join(truths.withColumn("column", own("truth")).withColumn("row", every), ["row", "column"])
-        .filter(F.col("test") != F.col("truth"))
-    )
-    n_truth = F.size("paths").cast("bigint")
+    test_classes, test_files = _classes(tests, "entities", blocks)
+    truth_classes, truth_files = _classes(truths, "ids", blocks)
+    pairs = test_classes.select(F.col("no").alias("test_no"), "entities", F.col("block").alias("row")).withColumn("column", every)
+    others = truth_classes.select(F.col("no").alias("truth_no"), "ids", F.col("block").alias("column")).withColumn("row", every)
+    n_truth = F.size("ids").cast("bigint")
 
     def distance(entity):
         n_test = F.size(entity).cast("bigint")
-        n_both = F.size(F.array_intersect(entity, F.col("paths"))).cast("bigint")
+        n_both = F.size(F.array_intersect(entity, F.col("ids"))).cast("bigint")
         return {
             "symmetric": n_test + n_truth - 2 * n_both,
             "diff": n_test - n_both,
             "sub": F.when(n_both == n_truth, 1).otherwise(0).cast("bigint"),
         }[comparison]
 
-    return pairs.select(
-        "test",
-        "truth",
-        algorithm_of("test").alias("algorithm"),
-        dataset_of("truth").alias("dataset"),
-        F.array_min(F.transform("entities", distance)).alias("d"),
+    found = pairs.join(others, ["row", "column"]).select(
+        "test_no", "truth_no", F.array_min(F.transform("entities", distance)).alias("d")
+    )
+    named = found.join(test_files.select(F.col("no").alias("test_no"), F.col("file").alias("test")), "test_no")
+    named = named.join(truth_files.select(F.col("no").alias("truth_no"), F.col("file").alias("truth")), "truth_no")
+    return named.filter(F.col("test") != F.col("truth")).select(
+        "test", "truth", algorithm_of("test").alias("algorithm"), dataset_of("truth").alias("dataset"), "d"
     )
 
 

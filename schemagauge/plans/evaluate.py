@@ -15,9 +15,9 @@ from schemagauge.plans.summary import Check, summarize_many
 from schemagauge.sources import logs
 from schemagauge.sources.documents import schema_nodes
 from schemagauge.sources.results import FIELDS, result_lines
-from schemagauge.sources.rows import PARTS, count_rows, json_rows, split_sizes, with_part
+from schemagauge.sources.rows import PARTS, count_rows, json_rows, numbered, split_sizes, with_part
 
-_TOGETHER = 8  # runs over one input that share a scan
+TOGETHER = 8  # runs over one input that share a scan
 _COUNTED = FIELDS[:4]
 
 
@@ -28,6 +28,7 @@ def evaluate_runs(
     key: list[str] | None = None,
     mode: str = "permissive",
     totals: dict[str, int] | None = None,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """Quality of every run, with columns named as in a result line.
 
@@ -35,8 +36,8 @@ def evaluate_runs(
     ``schema_json``; ``open_rows`` gives the rows of an input, ``key`` the columns
     that tell them apart (see :func:`with_part`). Each schema becomes part of a
     plan, as a ``StructType`` would, so runs come to the driver a batch at a time,
-    never the rows. Runs over the same input share scans and parsing. Schemas are
-    measured as a table, whatever their number.
+    never the rows. Runs over the same input share scans and parsing, ``together`` at
+    a time. Schemas are measured as a table, whatever their number.
 
     No run is left out. One without a schema, or with one that is not supported, is an
     error in ``failfast``; otherwise its measures and counts are NULL.
@@ -68,13 +69,13 @@ def evaluate_runs(
     ).join(measures, "run_id", "left")
     if not validate:
         return described
-    validated = list(_validated(runs, open_rows, key, mode, totals or {}))
+    validated = list(_validated(runs, open_rows, key, mode, totals or {}, together))
     if not validated:
         return described.select("*", *[F.lit(None).cast("string").alias(c) for c in _COUNTED])
     return described.join(reduce(DataFrame.unionByName, validated), "run_id", "left")
 
 
-def _validated(runs, open_rows, key, mode, totals) -> Iterator[DataFrame]:
+def _validated(runs, open_rows, key, mode, totals, together) -> Iterator[DataFrame]:
     ordered = runs.select(
         "run_id", "input_file", "train_percent", "validation_size", "seed", "schema_json"
     ).orderBy("input_file", "run_id")
@@ -82,7 +83,7 @@ def _validated(runs, open_rows, key, mode, totals) -> Iterator[DataFrame]:
         rows = open_rows(input_file)
         total = count_rows(rows, totals.get(input_file))
         fit = (r for r in of_input if _is_usable(r, mode))
-        while batch := list(islice(fit, _TOGETHER)):
+        while batch := list(islice(fit, together)):
             yield _validate_batch(rows, total, batch, key, mode)
 
 
@@ -103,6 +104,9 @@ def _is_usable(run, mode: str) -> bool:
 def _validate_batch(rows, total, batch, key, mode) -> DataFrame:
     id_type = type(batch[0]["run_id"])
     checks = []
+    if key is None:  # once for all runs
+        key = [*rows.columns, "_copy"]
+        rows = numbered(rows, "_copy")
     for number, run in enumerate(batch):
         sizes = split_sizes(total, run["train_percent"], run["validation_size"])
         rows = with_part(rows, sizes, run["seed"], key, into=f"_part{number}")

@@ -29,6 +29,16 @@ def result_lines(results: DataFrame, id_col: str = "run_id") -> DataFrame:
     return results.select(id_col, F.to_json(F.struct(*fields)).alias("value"))
 
 
-def append_results(lines: DataFrame, log_path: str) -> None:
-    """Append result lines to the folder of text files ``<log_path>.res``."""
-    lines.select("value").write.mode("append").text(log_path + ".res")
+def append_results(lines: DataFrame, log_path: str, once: bool = False, id_col: str = "run_id") -> None:
+    """Append result lines to the folder of text files ``<log_path>.res``.
+
+    With ``once`` each run has a folder of its own there, and writing its line again replaces
+    it: a job that was broken off, or is run again, leaves one line per run.
+    """
+    if not once:
+        lines.select("value").write.mode("append").text(log_path + ".res")
+        return
+    run = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    named = lines.select("value", run.alias("run")).repartition("run")
+    writer = named.write.mode("overwrite").partitionBy("run").option("partitionOverwriteMode", "dynamic")
+    writer.text(log_path + ".res")

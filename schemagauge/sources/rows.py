@@ -13,6 +13,7 @@ from schemagauge.session import prepare
 
 PARTS = ("train", "validation", "overflow")
 _BUCKETS = 16**7  # seven hexadecimal digits of a hash
+_TOGETHER = 10_000  # equal rows that are dealt out from one place
 
 
 def json_rows(
@@ -82,6 +83,22 @@ def bucket(seed: int | str, *key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint")
 
 
+def numbered(rows: DataFrame, into: str = "copy") -> DataFrame:
+    """The rows, equal ones with running numbers from 0, so that no two are alike.
+
+    Equal rows can't be told apart, so they are counted, with one partial count per task and
+    distinct row, and dealt out again, ``_TOGETHER`` from one place at most. A row's number depends on
+    nothing but the rows there are: it is the same after any reshuffle or retry.
+    """
+    times = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1, F.lit(_TOGETHER).cast("bigint"))
+    blocks = times.withColumn("_start", F.explode(starts))
+    many = blocks.filter(F.col("_times") > _TOGETHER).repartition(*rows.columns, "_start")
+    every = blocks.filter(F.col("_times") <= _TOGETHER).unionByName(many)
+    last = F.least(F.col("_start") + _TOGETHER, F.col("_times")) - 1
+    return every.withColumn(into, F.explode(F.sequence(F.col("_start"), last))).drop("_times", "_start")
+
+
 def with_part(
     rows: DataFrame,
     sizes: SplitSizes,
@@ -89,27 +106,28 @@ def with_part(
     key: list[str] | None = None,
     into: str = "part",
 ) -> DataFrame:
-    """Label every row ``train``, ``validation`` or ``overflow`` in one narrow pass.
+    """Label every row ``train``, ``validation`` or ``overflow``.
 
-    Without ``key`` rows are drawn independently, which is repeatable as long as
-    the scan is. With ``key``, columns that tell rows apart, the part is a function
-    of seed and key, and so survives any reordering or repartitioning.
+    The part is a function of the seed and of ``key``, columns that tell rows apart, and so
+    survives any reordering or repartitioning; it is given in one narrow pass. Without
+    ``key`` rows are told apart by all their columns and their number among equal rows,
+    see :func:`numbered`, which takes a shuffle of them.
     """
     total = sizes.train + sizes.validation + sizes.overflow
     if total <= 0:
         return rows.withColumn(into, F.lit(PARTS[2]))
     if seed is None:
         seed = random.randrange(2**31)
+    columns = rows.columns
     if key is None:
-        draw = F.rand(seed)
-    else:
-        draw = bucket(seed, *[F.col(k) for k in key]) / F.lit(float(_BUCKETS))
+        rows, key = numbered(rows, "_copy"), [*columns, "_copy"]
+    draw = bucket(seed, *[F.col(k) for k in key]) / F.lit(float(_BUCKETS))
     return rows.withColumn("_draw", draw).withColumn(
         into,
         F.when(F.col("_draw") < sizes.train / total, PARTS[0])
         .when(F.col("_draw") < (sizes.train + sizes.validation) / total, PARTS[1])
         .otherwise(PARTS[2]),
-    ).drop("_draw")
+    ).select(*columns, into)
 
 
 def split(

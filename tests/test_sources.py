@@ -1,6 +1,7 @@
 """Files in, files out: rows, splits, logs, and whole evaluations."""
 
 import json
+from collections import Counter
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -256,3 +257,35 @@ def test_logs_of_equal_names_and_bad_runs(spark, tmp_path):
         assert "Validation" not in by_seed[seed] and "Precision" not in by_seed[seed]
     with pytest.raises(Exception, match="schema"):
         evaluate_log(spark, str(tmp_path / "x" / "r.log")).collect()
+
+
+def test_lines_written_once(spark, tmp_path):
+    log = str(tmp_path / "d.log")
+    lines = lambda *pairs: spark.createDataFrame(pairs, "run_id string, value string")
+    for _ in range(2):
+        append_results(lines(("a#1", "one"), ("b#1", "two"), (None, "three")), log, once=True)
+    append_results(lines(("a#1", "new"), ("c#1", "four")), log, once=True)
+    found = sorted(r.value for r in spark.read.text(log + ".res").collect())
+    assert found == ["four", "new", "three", "two"]
+
+
+@pytest.mark.parametrize("together", [3, 10_000])
+def test_a_split_without_a_key_survives_a_reshuffle(spark, monkeypatch, together):
+    monkeypatch.setattr(rows, "_TOGETHER", together)
+    values = ["hot"] * 700 + ["few"] * 4 + [f"v{i}" for i in range(300)] + [None] * 5
+    data = [(v, i % 2 if v == "hot" else None) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "value string, k int")
+    sizes = rows.split_sizes(len(data), 30.0, 200)
+    seen = []
+    for parts in (1, 7, 3):
+        labelled = rows.with_part(df.repartition(parts), sizes, seed=5)
+        assert labelled.columns == ["value", "k", "part"]
+        by_part = {p: Counter(tuple(r)[:2] for r in labelled.filter(F.col("part") == p).collect()) for p in rows.PARTS}
+        assert sum(by_part.values(), Counter()) == Counter(data)
+        seen.append(by_part)
+    assert seen[0] == seen[1] == seen[2]
+    assert abs(sum(seen[0]["validation"].values()) - 200) < 60
+    train, held_out = rows.split(df.repartition(5), 30.0, 200, seed=5)
+    assert Counter(map(tuple, train.collect())) == seen[0]["train"]
+    assert Counter(map(tuple, held_out.collect())) == seen[0]["validation"]
+    assert rows.numbered(df.limit(0)).count() == 0
