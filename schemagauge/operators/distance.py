@@ -53,10 +53,10 @@ def _numbers(paths: DataFrame) -> DataFrame:
 
 
 def _classes(files: DataFrame, value: str, blocks_of: int) -> tuple[DataFrame, DataFrame]:
-    """Files by equal ``value``: a row per class with its number ``no`` and weight, and (file, no)."""
-    classes = reliable(files.groupBy(value).agg(F.collect_list("file").alias("files")))
-    classes = classes.withColumn("no", F.xxhash64(value, F.array_min("files")))
-    classes = reliable(classes.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(blocks_of))))
+    """Files by equal ``value``: a row per class with its number ``no`` and ``block``, and (file, no)."""
+    classes = files.groupBy(value).agg(F.collect_list("file").alias("files"))
+    classes = reliable(classes.withColumn("no", F.xxhash64(value, F.array_min("files"))))
+    classes = classes.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(blocks_of)))
     return classes.drop("files"), classes.select("no", F.explode("files").alias("file"))
 
 
@@ -79,7 +79,8 @@ def schema_distances(
         raise ValueError(f"unknown comparison {comparison!r}, expected one of {COMPARISONS}")
     both = schema_paths(test).withColumn("is_test", F.lit(True))
     both = both.unionByName(schema_paths(truth, per_entity=False).withColumn("is_test", F.lit(False)))
-    both = reliable(_numbers(both).groupBy("is_test", "file", "entity_idx").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    both = _numbers(reliable(both)).groupBy("is_test", "file", "entity_idx")
+    both = both.agg(F.sort_array(F.collect_list("id")).alias("ids"))
     tests = both.filter("is_test").groupBy("file").agg(F.array_sort(F.collect_set("ids")).alias("entities"))
     truths = both.filter("not is_test").select("file", "ids")
     if blocks is None:
