@@ -150,3 +150,25 @@ def test_queries_on_the_table(spark, plain):
         assert (files[d].start, files[d].n_tokens, files[d].ids_crc32) == (start, len(ids), crc(ids))
         start += len(ids)
     assert {r.doc_id for r in queries.op4_packing(spark, SF).collect()} == set(rows)
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, found = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Two  words,  Ünd\n\nmore: ABC abc", "", "x" * 50]
+    assert not found.by_words and tokens.Encoder(tokens.default_path()).by_words
+    for t, ids in zip(texts, found.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_letters_of_all_kinds():
+    from tokenizers import Tokenizer
+
+    plain, found = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    words = [chr(c) * 2 + "ab" + chr(c) for c in range(33, 700) if not chr(c).isspace()]
+    words += ["ÀÖØÞ", "ßöøÿ", "ét", "µm", "ªº", "İi", "ΑΣ.", "straße!", "é,", "é%%%", "a,###", "x''", "<|a|>", "abc<|", "don't", "l'été"]
+    for w, ids in zip(words, found.encode([w.encode() for w in words])):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(w, add_special_tokens=False).ids, w
