@@ -27,13 +27,17 @@ def quality(docs: DataFrame) -> DataFrame:
     found = quality_rules.verdicts(docs).filter("kept")
     # Rows that agree in id, text and host are one row here, so that none comes back twice.
     found = found.groupBy("rid", "rhash", F.col("host").alias("of_host")).agg(F.first("gone").alias("gone"))
-    found = found.select(F.struct("*").alias("found"))
+    name = "found"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    found = found.select(F.struct("*").alias(name))
+    its = F.col(name)
     mine = (
-        docs["doc_id"].eqNullSafe(F.col("found.rid"))
-        & (F.xxhash64(text_or_empty("text")) == F.col("found.rhash"))
-        & docs["source"].cast("string").eqNullSafe(F.col("found.of_host"))
+        docs["doc_id"].eqNullSafe(its["rid"])
+        & (F.xxhash64(text_or_empty("text")) == its["rhash"])
+        & docs["source"].cast("string").eqNullSafe(its["of_host"])
     )
-    left = quality_rules.text_left(docs["text"].cast("string"), F.col("found.gone"))
+    left = quality_rules.text_left(docs["text"].cast("string"), its["gone"])
     return docs.join(found, mine).select(*[left.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
@@ -45,9 +49,12 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def near(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest id, once."""
+    """One document of each component stays: that with the smallest id, once.
+
+    Of texts that share the id, that with the smallest hash stays.
+    """
     found = near_dedup.near_duplicates(docs)
-    kept = found.filter("rid <=> component").select("rid", "rhash")
+    kept = found.filter("rid <=> component").groupBy("rid").agg(F.min("rhash").alias("rhash"))
     unknown = docs.filter("doc_id is null")
     return _only(docs.filter("doc_id is not null"), kept).dropDuplicates(["doc_id"]).union(unknown)
 

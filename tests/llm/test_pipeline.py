@@ -67,3 +67,14 @@ def test_quality_takes_the_lines_of_a_host_out_of_the_texts(spark):
     expected = [(i, h, left[i] if h == "h" else text) for i, text, h, _ in rows]
     assert found == sorted(expected)
     assert stages.quality(docs).columns == docs.columns
+
+
+def test_columns_that_clash_and_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcd"]
+    rows = [(1, t, "en", "s", 1, "x", "y") for t in texts] + [(2, texts[0], "en", None, 1, None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, found string, found_ string"
+    docs = spark.createDataFrame(rows, names)
+    first = stages.quality(docs)
+    assert first.columns == docs.columns and sorted(map(str, first.collect())) == sorted(map(str, docs.collect()))
+    kept = [sorted((r.doc_id, r.text) for r in stages.near(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert kept[0] == kept[1] and [d for d, _ in kept[0]] == [1]
