@@ -102,11 +102,9 @@ ORACLES = {
     again AS (
         SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
         FROM lines WHERE n > 0 GROUP BY doc_id),
-    hosts AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source),
     common AS (
-        SELECT source, k, min(doc_id) AS keeper FROM lines JOIN hosts USING (source) WHERE n > 0
-        GROUP BY source, k, pages
-        HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.25 * pages),
+        SELECT source, k, min(doc_id) AS keeper FROM lines WHERE n > 0
+        GROUP BY source, k HAVING count(DISTINCT doc_id) > 10),
     removed AS (
         SELECT doc_id, sum(n) AS n_removed FROM lines JOIN common USING (source, k)
         WHERE doc_id <> keeper GROUP BY doc_id),

@@ -2,14 +2,15 @@
 
 Each text is measured in one pass. For the verdict its lines are normalised (words in
 lower case, single spaces) and hashed; distinct documents are counted per host and line.
-A line of more than ``max_docs`` documents of a host and more than ``max_share`` of them
-is removed from all but the document with the smallest id, so content that was only
-copied keeps one whole copy. A document that loses more than half of its words that way
+A line of more than ``max_docs`` documents of a host, however many the host has, is
+removed from all but the document with the smallest id, so content that was only copied
+keeps one whole copy. A document that loses more than half of its words that way
 is rejected, and so is one that breaks a base rule: fewer than 50 words, or more than
 half of the words in three-word windows that occur twice or more. The positions of removed
 lines are given with the verdict, and ``text_left`` is the text without them.
 
-Counts are summed before each shuffle; only lines that reach the limit are looked up again.
+Counts are summed before each shuffle; only lines that reach the limit are looked up again,
+and a line that very many documents hold is dealt over tasks for that.
 
 * A null or empty text has no words, so it is rejected. A null host is a host of its own.
 * Rows of equal id count as one document. Rows that agree get the same answer.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemagauge.llm.columns import lines_between, lines_of, row_key, text_or_empty
+from schemagauge.llm.joins import join_unique
 from schemagauge.llm.kernels import GOLDEN, U64, Words, mix, slices, span_hashes, windows
 from schemagauge.llm.storage import stored
 
@@ -134,7 +136,6 @@ def measured(docs: DataFrame, id_column: str, text_column: str, host_column: str
 def verdicts(
     docs: DataFrame,
     max_docs: int = 10,
-    max_share: float = 0.25,
     least_left: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -152,18 +153,17 @@ def verdicts(
     lines = rows.select("rid", "rhash", "host_key", F.inline("lines"))
     key = ["host_key", "line"]
     often = lines.groupBy(*key).agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    hits = stored(lines.join(often.select(*key), key), "common")
-    holders = hits.select(*key, "rid").distinct()
-    sizes = rows.select("host_key", "rid").distinct().groupBy("host_key").agg(F.count("*").alias("host_docs"))
+    spread = F.struct("rid", "rhash")
+    hits = stored(join_unique(lines, often.select(*key), key, spread), "common")
     limits = (
-        holders.groupBy(*key)
+        hits.select(*key, "rid")
+        .distinct()
+        .groupBy(*key)
         .agg(F.count("*").alias("docs"), F.min("rid").alias("keeper"))
         .filter(F.col("docs") > max_docs)
-        .join(sizes, "host_key")
-        .filter(F.col("docs") > max_share * F.col("host_docs"))
         .select(*key, "keeper")
     )
-    removed = hits.join(limits, key).filter(~F.col("rid").eqNullSafe(F.col("keeper")))
+    removed = join_unique(hits, limits, key, spread).filter(~F.col("rid").eqNullSafe(F.col("keeper")))
     # Rows that agree are one row here, so that their lines count once.
     removed = removed.groupBy("rid", "rhash", *key).agg(F.first("n").alias("n"), F.first("at").alias("at"))
     removed = removed.groupBy("rid", "rhash", "host_key").agg(

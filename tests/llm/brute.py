@@ -105,12 +105,11 @@ def quality(text):
     }
 
 
-def verdicts(docs, max_docs=10, max_share=0.25):
+def verdicts(docs, max_docs=10):
     """(doc_id, host, text) rows to doc_id -> (n_removed, kept)."""
     key = lambda line: tuple(words(line))
-    holders, hosts = defaultdict(set), defaultdict(set)
+    holders = defaultdict(set)
     for d, host, text in docs:
-        hosts[host].add(d)
         for line in (text or "").split("\n"):
             holders[host, key(line)].add(d)
     out = {}
@@ -118,7 +117,7 @@ def verdicts(docs, max_docs=10, max_share=0.25):
         removed = 0
         for line in (text or "").split("\n"):
             own = holders[host, key(line)]
-            if len(own) > max_docs and len(own) > max_share * len(hosts[host]) and d != min(own):
+            if len(own) > max_docs and d != min(own):
                 removed += len(key(line))
         q = quality(text)
         out[d] = removed, not q["base_failed"] and 2 * (q["n_words"] - removed) >= q["n_words"]
