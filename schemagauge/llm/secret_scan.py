@@ -127,11 +127,11 @@ def random_samples(spark: SparkSession, n: int) -> DataFrame:
 
 def transitions(samples: DataFrame) -> DataFrame:
     """Counts of neighbouring characters, ``pair`` and ``n``, in column ``token``."""
-    at = F.sequence(F.lit(1), F.char_length("token") - 1)
-    long_enough = samples.filter(F.char_length("token") >= 2)
-    pairs = long_enough.select(F.explode(at).alias("i"), "token").select(
-        F.substring(F.col("token"), F.col("i"), F.lit(2)).alias("pair")
-    )
+    chars = samples.filter(F.char_length("token") >= 2).select(F.split("token", "").alias("c"))
+    following = F.slice("c", F.lit(2), F.size("c") - 1)
+    # The last character has none after it, so what it makes is null.
+    pairs = chars.select(F.explode(F.zip_with("c", following, lambda a, b: F.concat(a, b))).alias("pair"))
+    pairs = pairs.filter("pair is not null")
     return pairs.groupBy("pair").agg(F.count("*").alias("n"))
 
 
@@ -165,12 +165,15 @@ def ratio(token: Column, ratios: dict[str, float]) -> Column:
         table[ord(pair[0]) * 128 + ord(pair[1])] = value
     table = F.lit(table)
 
-    def step(total, i):
-        first = F.ascii(F.substring(token, i, F.lit(1)))
-        second = F.ascii(F.substring(token, i + 1, F.lit(1)))
-        return total + F.get(table, first * 128 + second)
+    # One walk that holds the last character: to look each up in the token takes its whole length.
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("last"))
+
+    def step(so_far, c):
+        code = F.ascii(c)
+        known = F.when(so_far["last"] < 0, 0.0).otherwise(F.get(table, so_far["last"] * 128 + code))
+        return F.struct((so_far["total"] + known).alias("total"), code.alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), step)
+    return F.aggregate(F.split(token, ""), start, step, lambda end: end["total"])
 
 
 def scan(

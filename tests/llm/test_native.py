@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,26 @@ def test_secrets_of_the_models(spark):
     assert found[2000] == [(0, 0, "assign", 40)] and not found[2001] and not found[2002]
 
 
+def test_a_run_of_a_million_characters(spark):
+    draw = random.Random(12)
+    run = "".join(draw.choice(secret_scan.ALPHABET[:62]) for _ in range(1_000_000))
+    names = ["convert", "customer", "total", "Index", "value", "_of_", "List", "page", "number", "Order", "update"]
+    docs = [(i, "".join(draw.choice(names) for _ in range(4))) for i in range(10, 200)]
+    found = plain_secrets(spark, [(1, f"é {run} end"), (2, "x" * 1_000_000), *docs])
+    assert found[1] == [(2, 3, "markov", 1_000_002)] and not found[2]
+
+
+def test_ratio_is_the_sum_over_pairs(spark):
+    draw = random.Random(13)
+    ratios = {a + b: draw.uniform(-2, 2) for a in secret_scan.ALPHABET for b in secret_scan.ALPHABET}
+    tokens = ["".join(draw.choice(secret_scan.ALPHABET) for _ in range(n)) for n in (1, 2, 3, 40, 40, 500)]
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string")
+    for t, value in frame.select("token", secret_scan.ratio(F.col("token"), ratios)).collect():
+        assert value == pytest.approx(sum(ratios[a + b] for a, b in zip(t, t[1:])))
+    counted = {r.pair: r.n for r in secret_scan.transitions(frame).collect()}
+    assert counted == Counter(a + b for t in tokens for a, b in zip(t, t[1:]))
+
+
 def test_secrets_of_equal_rows_and_of_none(spark):
     docs = [(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "token=abcdefgh"), (1, "other")]
     rows = secret_scan.scan(spark.createDataFrame(docs, SCHEMA)).collect()
