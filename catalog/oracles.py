@@ -385,16 +385,21 @@ ORACLES["subset_report"] = _SUB + """
 SELECT test, truth, dataset || ' subset of ' || algorithm AS line FROM distances WHERE d = 1
 """
 
-ORACLES["precision_large"] = _PATH_SETS + """,
+ORACLES["precision_large"] = _PATH_SETS.replace("WITH sold", "WITH RECURSIVE sold") + """,
 powers AS (
   SELECT t.test AS file, t.e,
          sum(CASE WHEN length(path) - length(replace(path, '.', '')) > 0 THEN 1 ELSE 0 END) AS p
   FROM tests t GROUP BY t.test, t.e),
 totals AS (SELECT file, max(p) + log2(sum(pow(2.0, p - m))) AS l
-           FROM (SELECT *, max(p) OVER (PARTITION BY file) AS m FROM powers) GROUP BY file)
+           FROM (SELECT *, max(p) OVER (PARTITION BY file) AS m FROM powers) GROUP BY file),
+twos AS (
+  SELECT 0 AS p, CAST(1 AS BIGINT) AS v
+  UNION ALL SELECT p + 1, v * 2 % 1000000000 FROM twos WHERE p < (SELECT max(p) FROM powers)),
+endings AS (SELECT file, CAST(sum(v) % 1000000000 AS BIGINT) AS last_digits
+            FROM powers JOIN twos USING (p) GROUP BY file)
 SELECT file, round(l, 6) AS log2_precision,
-       CAST(floor(l * log10(2)) + 1 AS BIGINT) AS n_digits
-FROM totals
+       CAST(floor(l * log10(2)) + 1 AS BIGINT) AS n_digits, last_digits
+FROM totals JOIN endings USING (file)
 """
 
 # --- splits and whole evaluations -------------------------------------------------------

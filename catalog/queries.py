@@ -312,6 +312,7 @@ def precision_large(spark, folder):
         "file",
         F.round("log2_precision", 6).alias("log2_precision"),
         F.length("precision").cast("bigint").alias("n_digits"),
+        F.right("precision", F.lit(9)).cast("bigint").alias("last_digits"),
     )
 
 

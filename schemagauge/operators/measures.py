@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemagauge.session import reliable
-
-_EXACT = float(2**53)  # products and sums of doubles are exact whole numbers below this
+from schemagauge.functions import numbers as N
+from schemagauge.functions import variants as V
 
 
 def _checked(value: Column) -> Column:
@@ -33,10 +29,9 @@ def precision(nodes: DataFrame, id_col: str = "schema_id") -> DataFrame:
     value, or, where it is a ``oneOf``, adds one to it. ``precision`` is an exact
     whole number as text, as there is no bound to its size.
 
-    The nodes are spread by schema once. After that, each level is folded into the
-    one above it by an aggregate that needs no further shuffle. Doubles count
-    exactly up to 2**53 and never come back below it, so the schemas beyond are
-    known for certain; they alone are folded again in whole numbers.
+    Slim nodes are gathered by schema, which is one cell's document again, and folded
+    there from the last to the first; nothing is written in between and no level is
+    looped over.
     """
     sums = F.col("has_any") | F.col("has_one") | F.col("has_items")
     leaf = F.col("cut") | (~sums & (F.col("n_props") == 0))
@@ -44,91 +39,55 @@ def precision(nodes: DataFrame, id_col: str = "schema_id") -> DataFrame:
     optional = as_property & ~F.col("key_is_required")
     live = nodes.filter(F.col("live_shapes") & ~F.col("under_cut")).select(
         id_col,
-        "sid",
-        "depth",
-        _checked(F.when(leaf, 0).when(sums, 1).otherwise(2)).alias("op"),
-        F.when(optional & ~F.col("has_one"), 2).otherwise(1).alias("times"),
-        F.when(optional & F.col("has_one"), 1).otherwise(0).alias("plus"),
+        F.struct(
+            "sid",
+            "depth",
+            _checked(F.when(leaf, 0).when(sums, 1).otherwise(2)).alias("op"),
+            as_property.alias("multiplies"),
+            F.when(optional & ~F.col("has_one"), 2).otherwise(1).alias("times"),
+            F.when(optional & F.col("has_one"), 1).otherwise(0).alias("plus"),
+        ).alias("node"),
     )
-    live = reliable(live)
-    deepest = live.agg(F.max("depth")).first()[0] or 0
-    live = live.repartition(id_col)
-
-    folded = live.withColumns({"total": F.lit(0.0), "product": F.lit(1.0)})
-    for level in range(deepest, 0, -1):
-        folded = _fold(folded, level, id_col)
-    value = F.when(F.col("op") == 0, 1.0).when(F.col("op") == 1, F.col("total")).otherwise(
-        F.col("product")
+    # Below a node come first all that begin with its sid and a slash, so this order,
+    # turned round, meets what is below a node just before the node.
+    upwards = F.sort_array(F.collect_list("node"), asc=False)
+    shapes = live.groupBy(id_col).agg(upwards.alias("nodes")).select(
+        id_col, F.aggregate("nodes", V.empty(_STACK), _fold, lambda s: s[0]["n"]).alias("shapes")
     )
-    folded = reliable(folded.select(id_col, value.alias("shapes")))
-    small = folded.filter(F.col("shapes") < _EXACT).select(
+    return shapes.select(
         id_col,
-        F.col("shapes").cast("bigint").cast("string").alias("precision"),
-        F.log2("shapes").alias("log2_precision"),
-    )
-    large = folded.filter(F.col("shapes") >= _EXACT).select(id_col)
-    if large.isEmpty():
-        return small
-    id_type = nodes.schema[id_col].dataType.simpleString()
-    return small.unionByName(
-        live.join(large, id_col, "left_semi")
-        .groupBy(id_col)
-        .applyInPandas(
-            lambda key, pdf: _fold_whole_numbers(key, pdf, id_col),
-            f"`{id_col}` {id_type}, precision string, log2_precision double",
-        )
+        N.digits(F.col("shapes")).alias("precision"),
+        N.log2(F.col("shapes")).alias("log2_precision"),
     )
 
 
-def _fold(nodes: DataFrame, level: int, id_col: str) -> DataFrame:
-    """Merge the nodes at ``level`` into their parents; others stay as they are."""
-    at_level = F.col("depth") == level
-    last = F.substring_index("sid", "/", -1)
-    parent = F.left(F.col("sid"), F.length("sid") - F.length(last) - 1)
-    value = F.when(F.col("op") == 0, 1.0).when(F.col("op") == 1, F.col("total")).otherwise(
-        F.col("product")
-    )
-    share = value * F.col("times") + F.col("plus")
-
-    def own(name: str) -> Column:
-        return F.max(F.when(~at_level, F.col(name))).alias(name)
-
-    return nodes.groupBy(id_col, F.when(at_level, parent).otherwise(F.col("sid")).alias("sid")).agg(
-        own("depth"),
-        own("op"),
-        own("times"),
-        own("plus"),
-        F.sum(F.when(at_level, share).otherwise(F.col("total"))).alias("total"),
-        F.product(F.when(at_level, share).otherwise(F.col("product"))).alias("product"),
-    )
+_STACK = f"array<struct<depth:int,n:{N.NUMBER}>>"
+
 
+def _fold(stack: Column, node: Column) -> Column:
+    """Value of a node from the entry of those below it, into the entry of its own level.
 
-def _fold_whole_numbers(key, pdf: pd.DataFrame, id_col: str) -> pd.DataFrame:
-    """The same fold for one schema, a group no larger than its document."""
-    pdf = pdf.sort_values("depth", ascending=False)
-    totals: dict[str, int] = {}
-    products: dict[str, int] = {}
-    value = 1
-    columns = (pdf["sid"], pdf["op"], pdf["times"], pdf["plus"])
-    for sid, op, times, plus in zip(*(c.tolist() for c in columns)):
-        value = (1, totals.get(sid, 0), products.get(sid, 1))[op]
-        parent = sid.rpartition("/")[0]
-        share = value * times + plus
-        totals[parent] = totals.get(parent, 0) + share
-        products[parent] = products.get(parent, 1) * share
-    digits = pd.DataFrame({id_col: [key[0]]})
-    digits["precision"] = _decimal(value)
-    digits["log2_precision"] = math.log2(value)
-    return digits
-
-
-def _decimal(value: int) -> str:
-    """Decimal digits of any whole number; Python stops at a few thousand by default."""
-    if value.bit_length() < 10_000:
-        return str(value)
-    half = value.bit_length() // 7  # somewhat under half of the decimal digits
-    high, low = divmod(value, 10**half)
-    return _decimal(high) + _decimal(low).rjust(half, "0")
+    A level has one entry, the sum or product of the values met so far, and lower levels
+    lie above it; a node takes away the entry of the level below.
+    """
+    depth = node["depth"]
+    top = F.try_element_at(stack, F.lit(-1))
+    inner = F.coalesce(top["depth"] > depth, F.lit(False))
+    value = F.when((node["op"] != 0) & inner, top["n"]).otherwise(
+        N.small(F.when(node["op"] == 1, 0).otherwise(1))
+    )
+    share = N.scaled(value, node["times"], node["plus"])
+    rest = F.when(inner, F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(stack)
+
+    def put(state: Column) -> Column:
+        entries, n = state["rest"], state["share"]
+        own = F.try_element_at(entries, F.lit(-1))
+        level = F.coalesce(own["depth"] == depth, F.lit(False))
+        entry = F.when(level, N.joined(own["n"], n, node["multiplies"])).otherwise(n)
+        others = F.when(level, F.slice(entries, F.lit(1), F.size(entries) - 1)).otherwise(entries)
+        return F.concat(others, F.array(V.record(depth=depth, n=entry)))
+
+    return N.bind(V.record(rest=rest, share=share), put)
 
 
 def grouping(nodes: DataFrame, id_col: str = "schema_id") -> DataFrame:

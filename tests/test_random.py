@@ -1,6 +1,7 @@
 """Random schemas and rows against the plain models."""
 
 import json
+import math
 import random
 import sys
 
@@ -160,3 +161,28 @@ def test_large_precision_is_exact(spark):
         assert found[3] == str(2**40_000)
     finally:
         sys.set_int_max_str_digits(usual)
+
+
+def test_precision_is_one_plan_without_python(spark):
+    rng = random.Random(11)
+
+    def deep(depth):
+        if depth == 0:
+            return {"type": "string"}
+        inner = {f"p{i}": deep(depth - 1) for i in range(rng.randint(2, 4))}
+        one = {"type": "object", "properties": inner, "required": [k for k in inner if rng.random() < 0.3]}
+        return {"anyOf": [one, deep(depth - 1)]} if rng.random() < 0.4 else one
+
+    docs = [deep(5) for _ in range(12)]
+    df = spark.createDataFrame(
+        [(i, json.dumps(s)) for i, s in enumerate(docs)], "schema_id int, schema_json string"
+    )
+    found = M.precision(schema_nodes(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Scan ExistingRDD") == 1
+    rows = found.collect()
+    assert max(len(r["precision"]) for r in rows) > 100
+    for r in rows:
+        expected = model.precision(docs[r["schema_id"]])
+        assert r["precision"] == str(expected)
+        assert abs(r["log2_precision"] - math.log2(expected)) < 1e-9 * max(1, math.log2(expected))
