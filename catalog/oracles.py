@@ -381,6 +381,20 @@ SELECT algorithm AS fragment, test,
 FROM distances GROUP BY algorithm, test
 """
 
+ORACLES["distance_cells"] = _SYMMETRIC + """
+SELECT algorithm AS fragment, d,
+       row_number() OVER (PARTITION BY algorithm ORDER BY test, truth) - 1 AS position
+FROM distances
+"""
+
+ORACLES["distance_lines"] = _SYMMETRIC + """,
+lines AS (SELECT algorithm, string_agg(CAST(d AS VARCHAR), ' & ' ORDER BY test, truth) AS line
+          FROM distances GROUP BY algorithm)
+SELECT fragment, coalesce(line, '') AS line
+FROM (VALUES ('baazizi'), ('bimax'), ('kmeans'), ('hier')) AS f(fragment)
+LEFT JOIN lines ON algorithm = fragment
+"""
+
 ORACLES["subset_report"] = _SUB + """
 SELECT test, truth, dataset || ' subset of ' || algorithm AS line FROM distances WHERE d = 1
 """

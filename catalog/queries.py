@@ -389,6 +389,16 @@ def distance_report(spark, folder):
     return D.distance_report(_distances(spark, folder, "symmetric"))
 
 
+@query
+def distance_cells(spark, folder):
+    return D.report_cells(_distances(spark, folder, "symmetric"))
+
+
+@query
+def distance_lines(spark, folder):
+    return D.report_lines(_distances(spark, folder, "symmetric"))
+
+
 @query
 def subset_report(spark, folder):
     return D.subset_report(_distances(spark, folder, "sub"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemagauge.session import reliable
@@ -114,31 +114,79 @@ def schema_distances(
     )
 
 
-def distance_report(distances: DataFrame, per_test: bool = True) -> DataFrame:
-    """Distances joined by `` & ``, in order of file names, per algorithm fragment.
+def report_cells(distances: DataFrame) -> DataFrame:
+    """``(fragment, position, d)``: the distances of an algorithm fragment, numbered from 0.
 
-    A line covers one test file, so its length is bounded by the number of truth
-    files. ``per_test=False`` joins an algorithm's lines into a single one, which
-    is meant for reports short enough to be read.
+    The order is that of test and then truth names. What is numbered across tasks are test
+    files, each with its number of truths: ranges of names are written, numbered within, and
+    only a sum per range and fragment is put in order. Within a test file truths are ranked.
     """
-    fragment = F.explode(F.array(*[F.lit(a) for a in ALGORITHMS])).alias("fragment")
-    lines = (
-        distances.select("*", fragment)
-        .filter(F.contains(F.col("algorithm"), F.col("fragment")))
-        .groupBy("fragment", "test")
-        .agg(F.sort_array(F.collect_list(F.struct("truth", "d"))).alias("ds"))
-        .select(
-            "fragment",
-            "test",
-            F.array_join(F.transform("ds", lambda x: x["d"].cast("string")), " & ").alias("line"),
-        )
+    told = _fragments(distances)
+    sizes = told.groupBy("fragment", "test").agg(F.count("*").alias("n"))
+    ranges = reliable(
+        sizes.repartitionByRange("fragment", "test").withColumn("range", F.spark_partition_id())
+    )
+    names = Window.partitionBy("fragment", "range").orderBy("test")
+    earlier = Window.partitionBy("fragment").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    offsets = (
+        ranges.groupBy("fragment", "range")
+        .agg(F.sum("n").alias("held"))
+        .select("fragment", "range", F.coalesce(F.sum("held").over(earlier), none).alias("offset"))
     )
-    if per_test:
-        return lines
-    joined = F.sort_array(F.collect_list(F.struct("test", "line")))
-    return lines.groupBy("fragment").agg(joined.alias("parts")).select(
-        "fragment", F.array_join(F.transform("parts", lambda x: x["line"]), " & ").alias("line")
+    starts = ranges.select("*", (F.sum("n").over(names) - F.col("n")).alias("within")).join(
+        offsets, ["fragment", "range"]
     )
+    starts = starts.select("fragment", "test", (F.col("offset") + F.col("within")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("fragment", "test").orderBy("truth")) - 1
+    return (
+        told.select("fragment", "test", "d", rank.alias("rank"))
+        .join(starts, ["fragment", "test"])
+        .select("fragment", (F.col("start") + F.col("rank")).alias("position"), "d")
+    )
+
+
+def _every_fragment() -> Column:
+    return F.explode(F.array(*[F.lit(a) for a in ALGORITHMS])).alias("fragment")
+
+
+def _fragments(distances: DataFrame) -> DataFrame:
+    return distances.select("*", _every_fragment()).filter(F.contains(F.col("algorithm"), F.col("fragment")))
+
+
+def distance_report(
+    distances: DataFrame, per_test: bool = True, max_cells: int = 1_000_000
+) -> DataFrame:
+    """Distances joined by `` & ``, in order of file names, per algorithm fragment.
+
+    A line covers one test file, so its length is bounded by the number of truth
+    files. ``per_test=False`` gives the lines of :func:`report_lines` that aren't empty.
+    """
+    if not per_test:
+        return report_lines(distances, max_cells).filter(F.col("line") != "")
+    ordered = F.sort_array(F.collect_list(F.struct("truth", "d")))
+    return _fragments(distances).groupBy("fragment", "test").agg(_line(ordered).alias("line"))
+
+
+def report_lines(distances: DataFrame, max_cells: int = 1_000_000) -> DataFrame:
+    """``(fragment, line)``: one line for each algorithm fragment, empty where no file has it.
+
+    A line is one value, so this is for reports that are read: beyond ``max_cells`` distances
+    in a line it raises, before it gathers any. :func:`report_cells` has the same as rows.
+    """
+    told = _fragments(distances)
+    message = F.lit(f"a line of over {max_cells} distances, take report_cells")
+    sizes = told.groupBy("fragment").agg(F.count("*").alias("n"))
+    fits = F.when(F.col("n") <= max_cells, True).otherwise(F.raise_error(message).cast("boolean"))
+    checked = reliable(sizes.filter(fits).select("fragment"))
+    ordered = F.sort_array(F.collect_list(F.struct("test", "truth", "d")))
+    lines = told.join(checked, "fragment").groupBy("fragment").agg(_line(ordered).alias("line"))
+    every = distances.sparkSession.range(1).select(_every_fragment())
+    return every.join(lines, "fragment", "left").select("fragment", F.coalesce("line", F.lit("")).alias("line"))
+
+
+def _line(cells: Column) -> Column:
+    return F.array_join(F.transform(cells, lambda x: x["d"].cast("string")), " & ")
 
 
 def subset_report(distances: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ _SCALAR_TESTS = {
     "boolean": V.is_boolean,
     "null": V.is_null,
 }
+_LARGE = 32 << 20  # bytes of a text which a VARIANT may be unable to hold
 _CHAIN = 8  # branches tried one after another before keys are split by halves
 
 MODES = ("failfast", "permissive")
@@ -162,12 +163,17 @@ def parsed(value: Column, mode: str = "failfast") -> Column:
 def validate(
     rows: DataFrame, schema: str | Schema, col: str = "value", mode: str = "permissive"
 ) -> DataFrame:
-    """Add ``status``: ``accepted``, ``rejected`` or, for broken text, ``malformed``."""
+    """Add ``status``: ``accepted``, ``rejected`` or, for broken text, ``malformed``.
+
+    A text of over 32 MiB that gave no ``VARIANT`` is ``oversized``: it may be sound, but larger
+    than a ``VARIANT`` can hold, and is not judged.
+    """
     prepare(rows.sparkSession)
     v = parsed(F.col(col), mode)
     return rows.withColumn(
         "status",
-        F.when(v.isNull(), "malformed")
+        F.when(v.isNull() & (F.octet_length(col) > _LARGE), "oversized")
+        .when(v.isNull(), "malformed")
         .when(verdict(schema, v, mode), "accepted")
         .otherwise("rejected"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from schemagauge.session import reliable
+
 
 def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, file, pos, line)`` of a file, a folder or a ``*`` pattern.
@@ -12,17 +14,19 @@ def log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ``path`` tells files apart, ``file`` is the name alone. Names that begin with ``_``
     or ``.`` are hidden from Spark.
 
-    Files stay splittable. Lines are numbered within the block of the file that was
-    read as one, and the blocks before add what they hold; only one number per
-    block is ever put in order.
+    Files stay splittable and are read once. Lines are numbered within the block of the
+    file that was read as one and written with that number to the session's checkpoint
+    folder, so the number holds whatever is computed again. The blocks before add what
+    they hold; only one number per block is ever put in order.
     """
-    lines = spark.read.text(path).select(
+    scanned = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("n"),
         F.col("value").alias("line"),
     )
+    lines = reliable(scanned)
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         lines.groupBy("path", "block")

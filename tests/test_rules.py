@@ -193,3 +193,14 @@ def test_nesting_bound(spark):
     texts = ['{}', '{"a":[1,{"b":[]}]}', '{"a":"]]]}}}","b":[[1]]}', r'{"a\"]":"\\","b":{"c":[{}]}}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(V.nesting_bound(F.col("t"))).collect()] == [2, 5, 4, 5]
+
+
+def test_rows_too_large_for_a_variant_are_not_malformed(spark):
+    """A sound text of 140 MB has a status of its own; a broken short one keeps its."""
+    schema = {"type": "array", "items": {"type": "string"}}
+    large = F.concat(F.lit('["'), F.repeat(F.lit("a"), F.lit(140_000_000)), F.lit('"]'))
+    rows = spark.range(3).select(
+        F.when(F.col("id") == 0, large).when(F.col("id") == 1, "[").otherwise('["a"]').alias("value")
+    )
+    found = validate(rows, json.dumps(schema)).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in found} == {"oversized": 1, "malformed": 1, "accepted": 1}

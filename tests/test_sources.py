@@ -92,7 +92,8 @@ def test_log_lines_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
         spark.conf.set("spark.sql.files.openCostInBytes", "64")
         lines = logs.log_lines(spark, str(tmp_path))
-        assert lines.rdd.getNumPartitions() >= 1
+        # The text is read while the lines are numbered, and never again.
+        assert "FileScan text" not in lines._jdf.queryExecution().executedPlan().toString()
         log = logs.decode_info(logs.pair_lines(lines)).collect()
         found = sorted((r["file"], r["rec"], r["info"]["TotalTime"]) for r in log)
         assert found == sorted(expected)
@@ -185,6 +186,12 @@ def test_distance_reports(spark, tmp_path):
     }
     joined = {r["fragment"]: r["line"] for r in D.distance_report(symmetric, per_test=False).collect()}
     assert joined == {"bimax": "0 & 1 & 1 & 0", "kmeans": "0 & 0"}
+    whole = {r["fragment"]: r["line"] for r in D.report_lines(symmetric).collect()}
+    assert whole == joined | {"baazizi": "", "hier": ""}
+    cells = sorted(tuple(r) for r in D.report_cells(symmetric.repartition(7)).collect())
+    assert cells == [(f, i, int(d)) for f in ("bimax", "kmeans") for i, d in enumerate(whole[f].split(" & "))]
+    with pytest.raises(Exception, match="over 3 distances"):
+        D.report_lines(symmetric, max_cells=3).collect()
     lines = sorted(r["line"] for r in D.subset_report(D.schema_distances(test, truth, "sub")).collect())
     assert lines == [
         "d1 subset of bimax",
