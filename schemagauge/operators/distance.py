@@ -155,7 +155,7 @@ def _fragments(distances: DataFrame) -> DataFrame:
 
 
 def distance_report(
-    distances: DataFrame, per_test: bool = True, max_cells: int = 1_000_000
+    distances: DataFrame, per_test: bool = True, max_cells: int | None = None
 ) -> DataFrame:
     """Distances joined by `` & ``, in order of file names, per algorithm fragment.
 
@@ -164,27 +164,49 @@ def distance_report(
     """
     if not per_test:
         return report_lines(distances, max_cells).filter(F.col("line") != "")
+    return _test_lines(distances).select("fragment", "test", "line")
+
+
+def _test_lines(distances: DataFrame) -> DataFrame:
+    """``(fragment, test, n, line)``: the distances of a test file as one line."""
     ordered = F.sort_array(F.collect_list(F.struct("truth", "d")))
-    return _fragments(distances).groupBy("fragment", "test").agg(_line(ordered).alias("line"))
+    return (
+        _fragments(distances)
+        .groupBy("fragment", "test")
+        .agg(F.count("*").alias("n"), _line(ordered).alias("line"))
+    )
+
 
+#: Bytes of a line: no value is longer.
+_LINE_BYTES = 2_000_000_000
 
-def report_lines(distances: DataFrame, max_cells: int = 1_000_000) -> DataFrame:
+
+def report_lines(distances: DataFrame, max_cells: int | None = None) -> DataFrame:
     """``(fragment, line)``: one line for each algorithm fragment, empty where no file has it.
 
-    A line is one value, so this is for reports that are read: beyond ``max_cells`` distances
-    in a line it raises, before it gathers any. :func:`report_cells` has the same as rows.
+    A line is put together from those of its test files, which are written first, so what
+    meets in a task are texts. It raises, before it gathers any, beyond what one value can hold and
+    beyond ``max_cells`` distances, if given. :func:`report_cells` has the same as rows.
     """
-    told = _fragments(distances)
-    message = F.lit(f"a line of over {max_cells} distances, take report_cells")
-    sizes = told.groupBy("fragment").agg(F.count("*").alias("n"))
-    fits = F.when(F.col("n") <= max_cells, True).otherwise(F.raise_error(message).cast("boolean"))
-    checked = reliable(sizes.filter(fits).select("fragment"))
-    ordered = F.sort_array(F.collect_list(F.struct("test", "truth", "d")))
-    lines = told.join(checked, "fragment").groupBy("fragment").agg(_line(ordered).alias("line"))
+    parts = reliable(_test_lines(distances))
+    sizes = parts.groupBy("fragment").agg(
+        F.sum("n").alias("n"), F.sum(F.octet_length("line").cast("bigint") + 3).alias("bytes")
+    )
+    fits = F.when(F.col("bytes") > _LINE_BYTES, _refused("2 GB"))
+    if max_cells is not None:
+        fits = fits.when(F.col("n") > max_cells, _refused(f"{max_cells} distances"))
+    checked = reliable(sizes.filter(fits.otherwise(True)).select("fragment"))
+    ordered = F.sort_array(F.collect_list(F.struct("test", "line")))["line"]
+    lines = parts.join(F.broadcast(checked), "fragment").groupBy("fragment")
+    lines = lines.agg(F.array_join(ordered, " & ").alias("line"))
     every = distances.sparkSession.range(1).select(_every_fragment())
     return every.join(lines, "fragment", "left").select("fragment", F.coalesce("line", F.lit("")).alias("line"))
 
 
+def _refused(bound: str) -> Column:
+    return F.raise_error(F.lit(f"a line of over {bound}, take report_cells")).cast("boolean")
+
+
 def _line(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda x: x["d"].cast("string")), " & ")
 
