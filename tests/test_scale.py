@@ -20,3 +20,18 @@ def test_a_line_takes_over_a_million_distances(spark):
     lines = {r["fragment"]: r["line"] for r in D.report_lines(pairs.repartition(5)).collect()}
     assert lines.pop("bimax") == " & ".join(map(str, range(1100 * 1000)))
     assert lines == {"baazizi": "", "kmeans": "", "hier": ""}
+
+
+def test_folds_are_hash_aggregates_over_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    from schemagauge.operators import relational
+
+    schema = '{"type":"object","properties":{"a":{"type":"array","items":{"type":"number"}}},"required":["a"]}'
+    rows = spark.range(300).select(
+        "id", F.concat(F.lit('{"a":['), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ',"x"').otherwise(""), F.lit("]}")).alias("value")
+    )
+    monkeypatch.setattr(relational, "_TASK_ROWS", 10)
+    judged = relational.validate_by_joins(rows, schema, ["id"])
+    assert "SortAggregate" not in _plan(judged)
+    assert "id#" in _plan(judged) and ", 30), REPARTITION_BY_NUM" in _plan(judged)
+    found = {(r["id"] % 3 == 0, r["status"]) for r in judged.collect()}
+    assert found == {(True, "rejected"), (False, "accepted")}
