@@ -35,3 +35,47 @@ def test_folds_are_hash_aggregates_over_as_many_tasks_as_rows_ask_for(spark, mon
     assert "id#" in _plan(judged) and ", 30), REPARTITION_BY_NUM" in _plan(judged)
     found = {(r["id"] % 3 == 0, r["status"]) for r in judged.collect()}
     assert found == {(True, "rejected"), (False, "accepted")}
+
+
+def test_a_filter_on_repeated_open_objects_walks_once(spark):
+    from schemagauge.sources.documents import schema_nodes
+
+    df = spark.createDataFrame([(1, '{"type":"object"}')], "schema_id int, schema_json string")
+    filtered = schema_nodes(df).filter("cut").select("schema_id", "sid")
+    plan = filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1
+
+
+def test_steps_of_a_schema_walk_are_its_levels(spark):
+    from schemagauge.sources import documents
+
+    wide = '{"type":"object","properties":{%s}}' % ",".join('"k%d":{"type":"string"}' % i for i in range(50))
+    texts = {
+        wide: 2,
+        '{"type":"string"}': 1,
+        '{"properties":{"}}]":3}}': 2,
+        '{"items":3}': 2,
+        '{"items":{"items":{"items":{}}}}': 4,
+        '{"anyOf":[{"items":{"properties":{"a":{}}}}]}': 4,
+        '{"properties":{"in":' * 20 + "{}" + "}}" * 20: 21,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r["t"]: r["n"] for r in df.select("t", documents._levels(F.col("t")).alias("n")).collect()}
+    assert all(texts[t] <= found[t] <= texts[t] + 1 for t in texts), found
+    nodes = documents.schema_nodes(
+        df.select(F.col("t").alias("schema_id"), F.col("t").alias("schema_json")), strict=False
+    )
+    depths = {r["schema_id"]: r["d"] for r in nodes.groupBy("schema_id").agg(F.max("depth").alias("d")).collect()}
+    assert depths == {t: n - 1 for t, n in texts.items()}
+
+
+def test_lines_of_an_order_are_shuffled_once(spark, tmp_path):
+    from catalog import inputs
+
+    lines = [(1, 1, "R", "F"), (1, 2, "A", "O"), (1, 2, "N", "F"), (2, 1, "N", "F")]
+    columns = "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    schemas = inputs.order_schemas(spark, str(tmp_path))
+    assert _plan(schemas).count("Exchange") == 1
+    found = {r["schema_id"]: r["schema_json"] for r in schemas.collect()}
+    assert '"l2":{"type":"number"}' in found[1] and '"required":["l1"]' in found[2]
