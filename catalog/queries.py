@@ -353,11 +353,12 @@ def nested_entity_lint(spark, folder):
 # --- distances --------------------------------------------------------------------------
 
 
-def _distances(spark, folder, comparison):
+def _distances(spark, folder, comparison, listed=False):
     return D.schema_distances(
         schema_nodes(I.supplier_schemas(spark, folder), "file"),
         schema_nodes(I.nation_schemas(spark, folder), "file"),
         comparison,
+        listed=listed,
     )
 
 
@@ -384,22 +385,22 @@ def distance_sub(spark, folder):
 
 @query
 def distance_report(spark, folder):
-    return D.distance_report(_distances(spark, folder, "symmetric"))
+    return D.distance_report(_distances(spark, folder, "symmetric", listed=True))
 
 
 @query
 def distance_cells(spark, folder):
-    return D.report_cells(_distances(spark, folder, "symmetric"))
+    return D.report_cells(_distances(spark, folder, "symmetric", listed=True))
 
 
 @query
 def distance_lines(spark, folder):
-    return D.report_lines(_distances(spark, folder, "symmetric"))
+    return D.report_lines(_distances(spark, folder, "symmetric", listed=True))
 
 
 @query
 def subset_report(spark, folder):
-    return D.subset_report(_distances(spark, folder, "sub"))
+    return D.subset_report(_distances(spark, folder, "sub", listed=True))
 
 
 # --- splits and whole evaluations -------------------------------------------------------

@@ -14,6 +14,7 @@ from schemagauge.operators import measures as M
 from schemagauge.operators.issues import assess
 from schemagauge.operators.relational import validate_by_joins
 from schemagauge.plans.summary import summarize
+from schemagauge.session import reliable
 from schemagauge.sources.documents import schema_nodes
 from tests import model
 
@@ -132,6 +133,36 @@ def test_distances(corpus, nodes, comparison):
     assert found == expected
 
 
+@pytest.mark.parametrize("comparison", D.COMPARISONS)
+def test_distances_as_lists(nodes, comparison, monkeypatch):
+    monkeypatch.setattr(D, "_CHUNK", 2)
+    monkeypatch.setattr(D, "_PAIRS", 7)
+    few = nodes.filter("schema_id % 20 = 0")
+    of = F.element_at(F.split(F.lit("bimax kmeans hier.bimax"), " "), (F.col("schema_id") / 20 % 3 + 1).cast("int"))
+    name = F.concat(F.lit("d"), F.col("schema_id").cast("string"), F.lit("."), of)
+    alone = F.concat(F.lit("e"), F.col("schema_id").cast("string"), F.lit(".bimax"))
+    test = few.withColumn("file", name).unionByName(few.withColumn("file", alone))
+    truth = few.filter("schema_id > 40").withColumn("file", name)
+    truth = truth.unionByName(few.withColumn("file", F.concat(F.lit("d2."), name)))
+    pairs = reliable(D.schema_distances(test, truth, comparison))
+    lists = D.schema_distances(test, truth, comparison, blocks=3, listed=True)
+    assert sorted(map(tuple, D.schema_distances(test, truth, comparison, blocks=3).collect())) == sorted(map(tuple, pairs.collect()))
+    assert {len(r["truths"]) for r in lists.lists.collect()} != {pairs.select("truth").distinct().count()}
+    for report in (D.distance_report, D.report_cells, D.report_lines, D.subset_report):
+        found = sorted(map(tuple, report(lists).collect()))
+        assert found and found == sorted(map(tuple, report(pairs).collect())), report
+    with pytest.raises(Exception, match="over 3 distances"):
+        D.report_lines(lists, max_cells=3).collect()
+
+
+def test_pairs_of_files_are_not_shuffled(nodes):
+    few = nodes.filter("schema_id % 20 = 0").withColumn("file", F.concat(F.lit("d"), "schema_id", F.lit(".bimax")))
+    found = D.schema_distances(few, few.withColumn("file", F.concat("file", F.lit(".truth"))), listed=True)
+    for df in (D.schema_distances(few, few), D.report_cells(found), D.subset_report(found)):
+        above = df._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[0]
+        assert "Generate" in above and "Exchange" not in above and "Join" not in above
+
+
 def test_walks(spark):
     rng = random.Random(3)
     values = some_rows(rng, model.random_object_schema(rng), 60)
