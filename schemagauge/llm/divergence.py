@@ -47,7 +47,9 @@ _PARTS = 32
 #: Pairs of sources worked on at once.
 _PAIRS = 1 << 20
 
-_COUNTED = "lang string, source string, digest long, term string, n long, docs long"
+#: A language and a source are numbers of 64 bits where terms are counted.
+_COUNTED = "lang_no long, source_no long, digest long, n long, docs long"
+_COUNTED_BY_TEXT = _COUNTED.replace("digest long", "digest long, term string")
 
 
 class Terms:
@@ -79,11 +81,11 @@ def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.nda
     return [k[at] for k in ranked], [np.add.reduceat(v[order], at) for v in values]
 
 
-def _groups(batch: pa.RecordBatch, first: int, n: int) -> tuple[np.ndarray, list[tuple[str, str]]]:
-    """A number per row and the (language, source) of each number."""
-    seen: dict[tuple[str, str], int] = {}
-    pairs = zip(*[batch.column(c).slice(first, n).to_pylist() for c in ("lang", "source")])
-    return np.array([seen.setdefault(p, len(seen)) for p in pairs], np.int64), list(seen)
+def _groups(batch: pa.RecordBatch, first: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A number per row and the two numbers of each group that it stands for."""
+    pairs = [batch.column(c).slice(first, n).to_numpy() for c in ("lang_no", "source_no")]
+    groups, of = np.unique(np.stack(pairs), axis=1, return_inverse=True)
+    return of.reshape(-1), list(groups)
 
 
 def _counted(batches, bits):
@@ -95,7 +97,7 @@ def _counted(batches, bits):
             one = np.ones(len(found.owner), np.int64)
             (owner, digest), (n,) = _sums([found.owner, found.digests], [one])
             (of, digest), (n, docs) = _sums([group[owner], digest], [n, np.ones(len(n), np.int64)])
-            yield _rows(of, names, pa.array(digest.view(np.int64)), pa.repeat("", len(n)), n, docs)
+            yield _rows(of, names, n, docs, digest=pa.array(digest.view(np.int64)))
 
 
 def _counted_by_text(batches, bits):
@@ -116,60 +118,76 @@ def _counted_by_text(batches, bits):
             keys = list(zip(*counts)) or [[]] * 3
             sums = np.array(list(counts.values()), np.int64).reshape(-1, 2)
             digests, terms = pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string())
-            yield _rows(np.array(keys[0], np.int64), names, digests, terms, sums[:, 0], sums[:, 1])
+            yield _rows(np.array(keys[0], np.int64), names, sums[:, 0], sums[:, 1], digest=digests, term=terms)
 
 
-def _rows(of, names, digests, terms, n, docs) -> pa.RecordBatch:
-    at = pa.array(of)
-    parts = [pa.array([x[i] for x in names], pa.string()).take(at) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays(
-        [*parts, digests, terms, pa.array(n), pa.array(docs)], names=["lang", "source", "digest", "term", "n", "docs"]
-    )
+def _rows(of, names, n, docs, **terms) -> pa.RecordBatch:
+    columns = {"lang_no": pa.array(names[0][of]), "source_no": pa.array(names[1][of])}
+    return pa.RecordBatch.from_pydict(columns | terms | {"n": pa.array(n), "docs": pa.array(docs)})
 
 
 def _words(batches, bits):
     """The strings of each digest that the task hasn't sent before, or not of late."""
-    sent: set[tuple[int, int]] = set()
+    sent = other_sent = np.empty(0, U64)
     for batch in batches:
         for _, texts in slices(batch, "body"):
             found = Terms(texts, bits)
             # Another digest tells strings apart that share the first.
             raw = np.frombuffer(found.joined, np.uint8)
             other = span_hashes(raw ^ np.uint8(0x5A), found.starts, found.ends)
-            if len(sent) > 200_000:
-                sent = set()
-            order = np.lexsort((other, found.digests))
+            order = np.argsort(found.digests)
             d, o = found.digests[order], other[order]
             fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (o[1:] != o[:-1])))[: len(d)]
-            at = order[fresh]
-            keys = list(zip(found.digests[at].tolist(), other[at].tolist()))
-            new = np.array([k not in sent for k in keys], bool)
-            sent.update(keys)
+            at, d, o = order[fresh], d[fresh], o[fresh]
+            if len(sent) > 200_000:
+                sent = other_sent = np.empty(0, U64)
+            place = np.searchsorted(sent, d)
+            place[place == len(sent)] = 0
+            new = ((sent[place] != d) | (other_sent[place] != o)) if len(sent) else np.ones(len(d), bool)
             at = at[new]
+            sent, other_sent = np.concatenate((sent, d[new])), np.concatenate((other_sent, o[new]))
+            order = np.argsort(sent, kind="stable")
+            sent, other_sent = sent[order], other_sent[order]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.digests[at].view(np.int64)), pa.array(found.strings(at), pa.string())],
                 names=["digest", "term"],
             )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``lang_no`` and ``source_no``, 64 bits that differ between all languages and sources."""
+    groups = docs.select("lang", "source").distinct()
+    for seed in range(100):
+        no = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+        both = [F.countDistinct(x) for c in ("lang", "source") for x in (F.col(c), no(c))]
+        langs, lang_nos, sources, source_nos = groups.agg(*both).first()
+        if (langs, sources) == (lang_nos, source_nos):
+            return docs.withColumns({"lang_no": no("lang"), "source_no": no("source")})
+    raise RuntimeError("no seed tells all languages and sources apart")
+
+
 def counts(docs: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Two tables over ``docs`` with lang, source and body.
 
-    Occurrences ``n`` and documents ``docs`` by lang, source and term, a term being its ``digest`` and,
-    where strings share the digest, the ``term`` itself, else ``''``; and the dictionary, with ``low``
-    and ``high`` for each digest.
+    Occurrences ``n`` and documents ``docs`` by lang_no, source_no (see :func:`numbered`) and term, a term
+    being its ``digest`` and, where strings share the digest, the ``term`` itself, else ``''``; and the
+    dictionary, with ``low`` and ``high`` for each digest.
     """
-    key = ["lang", "source", "digest", "term"]
+    docs = numbered(docs).select("lang_no", "source_no", "body")
+    key = ["lang_no", "source_no", "digest", "term"]
 
     def summed(df):
-        return df.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # Keys are numbers alone but where strings have to be told apart.
+        by = [c for c in key if c in df.columns]
+        found = df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        return found.withColumn("term", found["term"] if "term" in by else F.lit("")).select(*key, "n", "docs")
 
     words = docs.select("body").mapInArrow(lambda x: _words(x, bits), "digest long, term string")
     words = stored(words.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "dictionary")
     found = summed(docs.mapInArrow(lambda x: _counted(x, bits), _COUNTED))
     shared = words.filter("low <> high").select("digest")
     if not shared.isEmpty():
-        by_text = docs.mapInArrow(lambda x: _counted_by_text(x, bits), _COUNTED)
+        by_text = docs.mapInArrow(lambda x: _counted_by_text(x, bits), _COUNTED_BY_TEXT)
         apart = summed(by_text.join(shared, "digest", "left_semi").select(*key, "n", "docs"))
         found = found.join(shared, "digest", "left_anti").select(*key, "n", "docs").unionByName(apart)
     return stored(found, "counts"), words
@@ -314,15 +332,16 @@ def divergence(
         text_or_empty(text_column).alias("body"),
     )
     found, words = counts(rows, bits)
-    term = ["lang", "digest", "term"]
+    term = ["lang_no", "digest", "term"]
     kept = found.groupBy(*term).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs"))
     kept = stored(kept.filter(F.col("lang_docs") >= min_docs).drop("lang_docs"), "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    langs = kept.groupBy("lang_no").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     used = stored(found.drop("docs").join(kept, term), "used")
-    totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    group = ["lang_no", "source_no"]
+    totals = used.groupBy(*group).agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
-    sizes = rows.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
-    sizes = sizes.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("kept", "lang_total", "total")])
+    sizes = numbered(rows).select("lang", "source", *group).distinct().join(langs, "lang_no", "left").join(totals, group, "left")
+    sizes = sizes.select("lang", "source", *group, *[F.coalesce(c, zero).alias(c) for c in ("kept", "lang_total", "total")])
     any_kept = F.greatest(F.col("kept"), F.lit(1))
     sizes = sizes.withColumns(
         {
@@ -331,13 +350,13 @@ def divergence(
         }
     )
     sizes = stored(sizes, "sizes")
-    used = join_unique(used, sizes, ["lang", "source"], F.col("digest")).withColumns(
+    used = join_unique(used, sizes, group, F.col("digest")).withColumns(
         {
             "p": share(F.col("n"), F.col("total"), F.col("kept")),
             "q": share(F.col("lang_n"), F.col("lang_total"), F.col("kept")),
         }
     )
-    used = stored(used.select(*term, "source", "no", "p", "p0", "q"), "shares")
+    used = stored(used.select("lang", "digest", "term", "source", "no", "p", "p0", "q"), "shares")
     pairs = source_pairs(used, sizes)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     pairs = pairs.withColumn("rank", F.row_number().over(order))

@@ -88,3 +88,17 @@ def test_strings_stay_where_texts_are_read(spark, monkeypatch):
     found, words = divergence.counts(frame.select("lang", "source", "body"))
     assert {r.term for r in found.collect()} == {""} and words.count() == 4
     assert sorted((r.n, r.docs) for r in found.collect()) == [(400, 400)] * 4
+
+
+def test_terms_are_counted_by_numbers_alone(spark, monkeypatch):
+    """Languages and sources are strings in no row that a term makes."""
+    made = []
+    monkeypatch.setattr(divergence, "stored", lambda df, name: made.append((name, df)) or df)
+    frame = spark.createDataFrame(odd_rows(), SCHEMA).withColumnRenamed("text", "body").na.fill("")
+    found, _ = divergence.counts(frame)
+    assert dict(found.dtypes) | {"lang_no": "bigint", "source_no": "bigint"} == dict(found.dtypes)
+    plan = made[-1][1]._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[lang_no#\w+, source_no#\w+, digest#\w+\]", plan)
+    pairs = {(r.lang or "", r.source or "") for r in frame.collect()}
+    numbers = divergence.numbered(frame).select("lang_no", "source_no").distinct().collect()
+    assert len(numbers) == len(pairs)
