@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from schemagauge.llm import queries, suffix_dedup
+from schemagauge.llm import queries, storage, suffix_dedup
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,11 @@ def test_equal_stretches_are_gathered_once(spark, monkeypatch):
     dealt, distinct = gathered[0]
     assert distinct.count() == dealt.select("key", "known").distinct().count() < dealt.count() / 2
     assert distinct.agg({"times": "sum"}).first()[0] == dealt.count()
+
+
+def test_tables_are_written_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    frame = spark.createDataFrame(list(enumerate(documents())), "doc_id long, text string")
+    assert suffix_dedup.cut_repeats(frame).count()
+    written = [p for p in tmp_path.rglob("*.parquet") if p.is_file()]
+    assert written and all(p.name.endswith(".zstd.parquet") for p in written)
