@@ -2,9 +2,9 @@
 
 Each text is measured in one pass. For the verdict its lines are normalised (words in
 lower case, single spaces) and hashed; distinct documents are counted per host and line.
-A line of more than ``max_docs`` documents of a host, however many the host has, is
-removed from all but the document with the smallest id, so content that was only copied
-keeps one whole copy. A document that loses more than half of its words that way
+A line of more than ``max_docs`` documents of a host and more than ``max_share`` of them
+is removed from all but the document with the smallest id, so content that was only
+copied keeps one whole copy. A document that loses more than half of its words that way
 is rejected, and so is one that breaks a base rule: fewer than 50 words, or more than
 half of the words in three-word windows that occur twice or more. The positions of removed
 lines are given with the verdict, and ``text_left`` is the text without them.
@@ -136,6 +136,7 @@ def measured(docs: DataFrame, id_column: str, text_column: str, host_column: str
 def verdicts(
     docs: DataFrame,
     max_docs: int = 10,
+    max_share: float = 0.25,
     least_left: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -155,12 +156,17 @@ def verdicts(
     often = lines.groupBy(*key).agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
     spread = F.struct("rid", "rhash")
     hits = stored(join_unique(lines, often.select(*key), key, spread), "common")
-    limits = (
+    held = (
         hits.select(*key, "rid")
         .distinct()
         .groupBy(*key)
         .agg(F.count("*").alias("docs"), F.min("rid").alias("keeper"))
         .filter(F.col("docs") > max_docs)
+    )
+    sizes = rows.select("host_key", "rid").distinct().groupBy("host_key").agg(F.count("*").alias("host_docs"))
+    limits = (
+        join_unique(stored(held, "held"), sizes, ["host_key"], F.col("line"))
+        .filter(F.col("docs") > max_share * F.col("host_docs"))
         .select(*key, "keeper")
     )
     removed = join_unique(hits, limits, key, spread).filter(~F.col("rid").eqNullSafe(F.col("keeper")))

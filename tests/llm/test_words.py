@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from schemagauge.llm import kernels, near_dedup, queries, quality_rules
+from schemagauge.llm.oracles import ORACLES
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +52,28 @@ def test_verdicts_of_repeated_rows_and_of_none(spark):
     assert quality_rules.verdicts(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_line_goes_by_its_share_of_the_documents_of_its_host(spark):
+    line = "Home about contact and the other pages of this site"
+    body = lambda h, i: "\n".join(" ".join(f"{h}{i}_{j}_{k}" for k in range(20)) for j in range(3))
+    sizes = {"small": 40, "even": 48, "large": 60}  # the line is in 12 documents of each
+    rows = [
+        (1000 * n + i, body(h, i) + ("\n" + line) * (i < 36 and i % 3 == 0), h)
+        for h, n in sizes.items()
+        for i in range(n)
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.rid: (r.host, r.n_removed, r.kept) for r in quality_rules.verdicts(frame.repartition(3)).collect()}
+    losing = {h: sum(n > 0 for host, n, _ in found.values() if host == h) for h in sizes}
+    assert losing == {"small": 11, "even": 0, "large": 0}
+    every = {r.rid: r.n_removed for r in quality_rules.verdicts(frame, max_share=0.0).collect()}
+    assert sum(n > 0 for n in every.values()) == 33
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    told = duck.execute(f"SELECT doc_id, source, n_removed, kept FROM ({ORACLES['op9_quality_rules']}) JOIN documents USING (doc_id)")
+    assert {d: (h, n, kept) for d, h, n, kept in told.fetchall()} == found
+
+
 def components(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = near_dedup.near_duplicates(frame).collect()
