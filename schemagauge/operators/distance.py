@@ -378,23 +378,63 @@ _LINE_BYTES = 2_000_000_000
 def report_lines(distances: DataFrame | DistanceLists, max_cells: int | None = None) -> DataFrame:
     """``(fragment, line)``: one line for each algorithm fragment, empty where no file has it.
 
-    A line is put together from those of its test files, which are written first, so what
-    meets in a task are texts. It raises, before it gathers any, beyond what one value can hold and
-    beyond ``max_cells`` distances, if given. :func:`report_cells` has the same as rows.
+    A line is put together from those of its test files, which are written first. These come to one
+    task in order, in short pieces, and go into one buffer of the known size, so no more than one line
+    is held at a time and none is gathered as rows. Whole lines then go to a task each. It raises,
+    before it gathers any, beyond what one value can hold and beyond ``max_cells`` distances, if
+    given. :func:`report_cells` has the same as rows.
     """
     parts = reliable(_test_lines(distances))
     sizes = parts.groupBy("fragment").agg(
-        F.sum("n").alias("n"), F.sum(F.octet_length("line").cast("bigint") + 3).alias("bytes")
+        F.sum("n").alias("n"), F.sum(F.octet_length("line").cast("bigint") + len(_BETWEEN)).alias("bytes")
     )
     fits = F.when(F.col("bytes") > _LINE_BYTES, _refused("2 GB"))
     if max_cells is not None:
         fits = fits.when(F.col("n") > max_cells, _refused(f"{max_cells} distances"))
-    checked = reliable(sizes.filter(fits.otherwise(True)).select("fragment"))
-    ordered = F.sort_array(F.collect_list(F.struct("test", "line")))["line"]
-    lines = parts.join(F.broadcast(checked), "fragment").groupBy("fragment")
-    lines = lines.agg(F.array_join(ordered, " & ").alias("line"))
+    checked = reliable(sizes.filter(fits.otherwise(True)).select("fragment", "bytes"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("line") - 1) / _PIECE), F.lit(0)).cast("int"))
+    pieces = F.posexplode(F.transform(cuts, lambda i: F.substring("line", i * _PIECE + 1, F.lit(_PIECE)))).alias("no", "piece")
+    lines = parts.filter(F.col("line").isNotNull()).join(F.broadcast(checked), "fragment")
+    lines = lines.select("fragment", "bytes", "test", pieces)
     every = parts.sparkSession.range(1).select(_every_fragment())
-    return every.join(lines, "fragment", "left").select("fragment", F.coalesce("line", F.lit("")).alias("line"))
+    place = F.array_position(F.array(*[F.lit(a) for a in ALGORITHMS]), F.col("fragment")).cast("int") - 1
+    told = lines.unionByName(every, allowMissingColumns=True).repartition(1)
+    whole = told.sortWithinPartitions("fragment", "test", "no").mapInArrow(_whole_lines, "fragment string, line string")
+    return whole.repartitionById(len(ALGORITHMS), place)
+
+
+#: Characters of a piece, so that the rows a task is sent at a time are short; what is between two lines.
+_PIECE, _BETWEEN = 2000, b" & "
+
+
+def _whole_lines(batches):
+    """A line for each fragment, of the sorted pieces of its lines. ``bytes`` is at least its size."""
+    fragment, held, size = None, None, 0
+    for batch in batches:
+        named, sizes, no = (batch.column(c).to_pylist() for c in ("fragment", "bytes", "no"))
+        for name, most, n, piece in zip(named, sizes, no, batch.column("piece")):
+            if name != fragment:
+                if fragment is not None:
+                    yield _whole_line(fragment, held, size)
+                fragment, held, size = name, None, 0
+            if n is None:
+                continue
+            if held is None:
+                held = np.empty(most, np.uint8)
+            elif n == 0:
+                held[size : size + len(_BETWEEN)] = np.frombuffer(_BETWEEN, np.uint8)
+                size += len(_BETWEEN)
+            piece = piece.as_py().encode()
+            held[size : size + len(piece)] = np.frombuffer(piece, np.uint8)
+            size += len(piece)
+    if fragment is not None:
+        yield _whole_line(fragment, held, size)
+
+
+def _whole_line(fragment: str, held: np.ndarray | None, size: int) -> pa.RecordBatch:
+    held = np.empty(0, np.uint8) if held is None else held[:size]
+    text = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(held)])
+    return pa.RecordBatch.from_arrays([pa.array([fragment]), text], names=["fragment", "line"])
 
 
 def _refused(bound: str) -> Column:

@@ -22,6 +22,26 @@ def test_a_line_takes_over_a_million_distances(spark):
     assert lines == {"baazizi": "", "kmeans": "", "hier": ""}
 
 
+def test_lines_are_put_together_from_pieces_and_never_gathered(spark, monkeypatch):
+    schema = "test string, truth string, algorithm string, dataset string, d long"
+    rows = [(f"s{i:02d}", f"t{j:02d}", "bimax+hier" if i % 2 else "kmeans", "x", 10 ** (i + j % 3)) for i in range(12) for j in range(9)]
+    rows += [(None, "t1", "bimax", "x", 7), ("s11", "u", "bimax", "x", None), ("z", "t", "kmeans", "x", None)]
+    monkeypatch.setattr(D, "_PIECE", 7)
+    pairs = spark.createDataFrame(rows, schema).repartition(5)
+    lines = D.report_lines(pairs)
+    assert "ObjectHashAggregate" not in _plan(lines) and "SortAggregate" not in _plan(lines)
+    # The rows that hold whole lines are those that come out, each in a task.
+    assert lines.rdd.getNumPartitions() == 4
+    found = {r["fragment"]: r["line"] for r in lines.collect()}
+    tests = sorted({(t or "", t, a) for t, _, a, _, _ in rows}, key=lambda x: x[0])
+    texts = [(a, " & ".join(str(d) for u, _, b, _, d in sorted(rows, key=lambda r: r[1]) if (u, b) == (t, a) and d is not None)) for _, t, a in tests]
+    own = {"bimax": "bimax", "hier": "bimax+hier", "kmeans": "kmeans"}
+    assert found["baazizi"] == ""
+    assert found["hier"] == " & ".join(x for a, x in texts if a == own["hier"])
+    assert found["kmeans"] == " & ".join(x for a, x in texts if a == "kmeans") and found["kmeans"].endswith(" & ")
+    assert found["bimax"].startswith("7 & 10 & ")
+
+
 def test_folds_are_hash_aggregates_over_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     from schemagauge.operators import relational
 
