@@ -42,6 +42,19 @@ def test_lines_are_put_together_from_pieces_and_never_gathered(spark, monkeypatc
     assert found["bimax"].startswith("7 & 10 & ")
 
 
+def test_texts_are_shuffled_once_to_be_judged_by_joins(spark, tmp_path):
+    from catalog.queries import QUERIES
+
+    lines = [(1, 1, 17.0, "R"), (1, 2, 17.0, "A"), (1, 3, 17.0, "N"), (1, 3, 17.0, "N"), (9, 1, 1.0, "R"), (9, 0, 1.0, "R")]
+    lines += [(2, 1, None, "R"), (None, 2, 1.0, "A"), (3, 7, 2.0, None)]
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    judged = QUERIES["validate_nested_by_joins"](spark, str(tmp_path))
+    moved = [x for x in _plan(judged).split("\n") if "Exchange hashpartitioning" in x and "status" not in x]
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0] and "nid" not in moved[0]
+    assert {r["status"]: r["n_rows"] for r in judged.collect()} == {"accepted": 4, "rejected": 2}
+
+
 def test_folds_are_hash_aggregates_over_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     from schemagauge.operators import relational
 
